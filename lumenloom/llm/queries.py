@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import formatdup, lookalike, mixing
+from lumenloom.llm import formatdup, language, lookalike, mixing
 from lumenloom.sources.readers import table
 
 
@@ -52,5 +52,13 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return formatdup.format_groups(table(spark, folder, "precomputed")).select("first_row_id", "n_copies")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.wrong_labels(table(spark, folder, "precomputed"))
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segment_languages(table(spark, folder, "precomputed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
