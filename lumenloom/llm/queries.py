@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import formatdup, language, lookalike, mixing
+from lumenloom.llm import formatdup, language, lookalike, mixing, overlap
 from lumenloom.sources.readers import table
 
 
@@ -60,5 +60,14 @@ def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
     return language.segment_languages(table(spark, folder, "precomputed"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, folder, "precomputed"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "precomputed")
+    return overlap.overlap_report(overlap.cross_split_pairs(rows), rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
