@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import formatdup, language, lookalike, mixing, overlap
+from lumenloom.llm import formatdup, language, lookalike, mixing, overlap, truncation
 from lumenloom.sources.readers import table
 
 
@@ -52,6 +52,14 @@ def p4_records(spark: SparkSession, folder: str) -> DataFrame:
     return formatdup.format_groups(table(spark, folder, "precomputed")).select("first_row_id", "n_copies")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_texts(table(spark, folder, "precomputed"))
+
+
+def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut_rates(table(spark, folder, "precomputed"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.wrong_labels(table(spark, folder, "precomputed"))
 
