@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import formatdup, language, lookalike, mixing, overlap, truncation
+from lumenloom.llm import formatdup, language, leakage, lookalike, mixing, overlap, truncation
 from lumenloom.sources.readers import table
 
 
@@ -77,5 +77,13 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(rows), rows)
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p9_leaks(spark, folder).select("item_id", "doc_id")
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
