@@ -29,7 +29,7 @@ SPELLINGS = {
 #: Labels that name no language.
 NOTHING = ("", "und", "unknown", "n/a", "na", "none", "null", "mul", "zxx", "mis", "?", "-")
 
-SAMPLE_ROWS, LANDMARKS, RIDGE = 400, 48, 0.05
+SAMPLE_ROWS, LANDMARKS, RIDGE = 120, 40, 0.05
 BITS = 12
 DIMS = 1 << BITS
 BLOCK = 512
@@ -136,30 +136,33 @@ def fit(sample: list[tuple[str, list[str]]], seed: int = 0) -> np.ndarray | None
     only = np.flatnonzero(running(segments) == 2)
     if not len(only):
         return None
-    presence = np.concatenate([b for _, b in segments.presence(only)])
-    presence /= np.sqrt(np.maximum(presence.sum(1, keepdims=True), 1))
+    presence = np.empty((len(only), DIMS), dtype=np.float32)
+    at = 0
+    for part, block in segments.presence(only):
+        presence[at : at + len(part)] = block / np.sqrt(np.maximum(block.sum(1, keepdims=True), 1))
+        at += len(part)
     truth = labels[segments.text[only]]
     random = np.random.default_rng(seed)
     keep = np.ones(len(only), dtype=bool)
     for _ in range(2):
-        x, y = presence[keep], truth[keep]
-        marks = np.concatenate([random.permutation(np.flatnonzero(y == k))[:LANDMARKS] for k in range(len(LANGUAGES))])
-        landmarks = x[marks]
+        y = truth[keep]
+        marks = np.concatenate([random.permutation(np.flatnonzero(keep & (truth == k)))[:LANDMARKS] for k in range(len(LANGUAGES))])
+        landmarks = presence[marks]
         values, vectors = np.linalg.eigh((landmarks @ landmarks.T).astype(np.float64))
         good = values > 1e-6
         half = vectors[:, good] / np.sqrt(values[good])
-        into = landmarks.T.astype(np.float64) @ half  # the Nyström map of a presence vector
-        z = np.column_stack([x @ into, np.ones(len(x))])
+        into = landmarks.T @ half.astype(np.float32)  # the Nyström map of a presence vector
+        z = np.column_stack([presence @ into, np.ones(len(truth))])[keep]
         target = np.where(y[:, None] == np.arange(len(LANGUAGES)), 1.0, -1.0)
         balance = 1.0 / np.maximum(np.bincount(y, minlength=len(LANGUAGES)), 1)[y]
         balance *= len(y) / balance.sum()
         ridge = np.eye(z.shape[1]) * RIDGE
         ridge[-1, -1] = 1e-6
         weights = np.linalg.solve(z.T @ (z * balance[:, None]) + ridge, z.T @ (target * balance[:, None]))
-        matrix = np.vstack([into @ weights[:-1], weights[-1:]])
+        matrix = np.vstack([into @ weights[:-1], weights[-1:]]).astype(np.float32)
         scores = presence @ matrix[:-1] + matrix[-1]
         keep = scores[np.arange(len(truth)), truth] > scores.max(1) - 0.4
-    return matrix.astype(np.float32)
+    return matrix
 
 
 def classify(segments: Segments, only: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
