@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenloom.llm import formatdup, language, leakage, lookalike, mixing, overlap, truncation
+from lumenloom.llm import formatdup, language, leakage, lookalike, mixing, overlap, packing, reading, truncation
 from lumenloom.sources.readers import table
 
 
@@ -77,6 +78,14 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(rows), rows)
 
 
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(p8_packed(spark, folder), table(spark, folder, "container_spec"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("item_id", "doc_id")
 
@@ -85,5 +94,13 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark_items"))
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.unlabelled_in_band(table(spark, folder, "documents"), table(spark, folder, "reading_labels"), 4)
+
+
+def p10_bands(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.reading_bands(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
+    return {name: f for name, f in globals().items() if re.match(r"p\d+_", name)}
