@@ -5,10 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from lumenloom.operators import skew
-from lumenloom.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,15 +23,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _load() -> None:
+    from lumenloom.plans import batches, curation, evaluation, numeric, skewed  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
-
-
-@query("""SELECT resolution_bucket_id FROM (SELECT resolution_bucket_id, count(*) AS n FROM precomputed GROUP BY 1)
-WHERE resolution_bucket_id IS NOT NULL AND n > 0.05 * (SELECT count(*) FROM precomputed)""")
-def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return skew.heavy_keys(table(spark, folder, "precomputed"), "resolution_bucket_id", 0.05).select("resolution_bucket_id")

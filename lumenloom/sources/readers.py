@@ -2,9 +2,82 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table of that name in a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def dataset(spark: SparkSession, name: str, catalogue: dict[str, str] | None = None) -> DataFrame:
+    """A dataset by path; if nothing is there, by its name in a catalogue of paths."""
+    try:
+        return spark.read.parquet(name)
+    except AnalysisException:
+        if catalogue and name in catalogue:
+            return spark.read.parquet(catalogue[name])
+        raise
+
+
+def split_head(df: DataFrame, key: str, spec: str) -> DataFrame:
+    """'split[:N]': the first N rows in the order of a key; without brackets all rows."""
+    if "[:" not in spec:
+        return df
+    return df.orderBy(key).limit(int(spec.split("[:", 1)[1].rstrip("]")))
+
+
+def discover(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path, length of the files of a folder that match a pattern, in the order of their paths."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+    return files.select("path", "length").orderBy("path")
+
+
+def json_argument(text: str) -> dict[str, Any]:
+    """A JSON object given as an argument."""
+    value = json.loads(text)
+    if not isinstance(value, dict):
+        raise ValueError("a JSON object is expected")
+    return value
+
+
+def field_list(fields: list[str]) -> list[str]:
+    """Names, each argument of which may hold several with commas between."""
+    return [name.strip() for argument in fields for name in argument.split(",") if name.strip()]
+
+
+def channel_constants(config: dict[str, Any], channels: int = 16) -> tuple[list[float], list[float]]:
+    """Means and deviations of latent channels from a model's configuration; 0 and 1 where it has none."""
+    return list(config.get("latents_mean") or [0.0] * channels), list(config.get("latents_std") or [1.0] * channels)
+
+
+def fetched(df: DataFrame, url: str, fetch: Callable[[str], bytes | None]) -> DataFrame:
+    """df with content and status (ok, invalid, error) from a given fetch function, batch by batch; a failure is a status, not an error."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType(df.schema.fields + [T.StructField("content", T.BinaryType()), T.StructField("status", T.StringType())])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            got = []
+            for u in part[url]:
+                try:
+                    content = fetch(u)
+                    got.append((content, "ok" if content is not None else "invalid"))
+                except Exception:  # noqa: BLE001
+                    got.append((None, "error"))
+            yield part.assign(content=[c for c, _ in got], status=[s for _, s in got])
+
+    return df.mapInPandas(run, schema)
+
+
+def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """The work that has no result yet."""
+    return work.join(done.select(key).where(F.col(key).isNotNull()), key, "left_anti")
