@@ -13,6 +13,11 @@ def doubles(values: Column) -> Column:
     return F.transform(values, lambda x: x.cast("double"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once: the optimizer would put a plain expression into every place that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(values: Column) -> Column:
     """Whether every value is a finite number; null for a null array, true for an empty one."""
     return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -238,17 +243,25 @@ def sane_side(pixels: Column) -> Column:
 def caption_weights(tokens: Column, stage: float, least: float = 0.15, most: float = 0.8) -> Column:
     """Probabilities of captions by their token counts: early stages prefer short ones, late stages long ones."""
     alpha = min(max(stage, 0.0), 1.0)
-    k = F.size(tokens)
-    mean_tokens = F.try_divide(F.aggregate(tokens, F.lit(0.0), lambda a, x: a + x), k)
-    scores = F.transform(tokens, lambda n: F.greatest(1 + 2.0 * (alpha - 0.5) * F.try_divide(n - mean_tokens, mean_tokens), F.lit(1e-6)))
-    top = F.greatest(F.lit(least), F.least(F.lit(most), 1 - least * (k - 1)))
-    clipped = F.transform(scores, lambda s: F.least(F.greatest(F.try_divide(s, total(scores)), F.lit(least)), top))
-    even = F.transform(tokens, lambda n: F.try_divide(F.lit(1.0), k))
-    return F.when((mean_tokens == 0) | (k == 1), even).otherwise(F.transform(clipped, lambda p: F.try_divide(p, total(clipped))))
+
+    def weights(tokens: Column, mean_tokens: Column) -> Column:
+        k = F.size(tokens)
+        top = F.greatest(F.lit(least), F.least(F.lit(most), 1 - least * (k - 1)))
+        scores = F.transform(tokens, lambda n: F.greatest(1 + 2.0 * (alpha - 0.5) * F.try_divide(n - mean_tokens, mean_tokens), F.lit(1e-6)))
+        even = F.transform(tokens, lambda n: F.try_divide(F.lit(1.0), k))
+        clipped = let(scores, lambda s: let(total(s), lambda all_s: F.transform(s, lambda x: F.least(F.greatest(F.try_divide(x, all_s), F.lit(least)), top))))
+        shared = let(clipped, lambda c: let(total(c), lambda all_c: F.transform(c, lambda p: F.try_divide(p, all_c))))
+        return F.when((mean_tokens == 0) | (k == 1), even).otherwise(shared)
+
+    return let(tokens, lambda t: let(mean(t), lambda m: weights(t, m)))
 
 
 def pick(weights: Column, u: Column) -> Column:
     """The first index (from 0) whose cumulative weight exceeds u; the last one if rounding leaves none."""
+    return let(F.struct(weights.alias("w"), u.alias("u")), lambda x: _pick(x["w"], x["u"]))
+
+
+def _pick(weights: Column, u: Column) -> Column:
     state = F.aggregate(
         weights,
         F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i"), F.lit(-1).alias("hit")),
