@@ -29,9 +29,10 @@ def with_position(df: DataFrame, key: str, name: str = "pos") -> DataFrame:
         before += n
     if not starts:
         return ordered.withColumn(name, F.lit(0).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for pair in starts for x in pair])
-    place = F.col("_n").bitwiseAND(F.lit(_IN_PARTITION)) + F.element_at(offsets, F.shiftright("_n", 33))
-    return numbered.withColumn(name, place.cast("long")).drop("_n")
+    # one row per partition
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, "_p long, _start long"))
+    placed = numbered.withColumn("_p", F.shiftright("_n", 33)).join(offsets, "_p")
+    return placed.withColumn(name, F.col("_n").bitwiseAND(F.lit(_IN_PARTITION)) + F.col("_start")).drop("_n", "_p", "_start")
 
 
 def place_in_group(df: DataFrame, groups: Sequence[str], pos: str, name: str = "place", step: int = 1 << 16) -> DataFrame:

@@ -127,9 +127,12 @@ def average_loss(spark: SparkSession, folder: str) -> DataFrame:
     return log.groupBy("run_name").agg(F.round(F.avg("loss"), 9).alias("mean_loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""WITH s AS (SELECT run_name, train_step, avg(loss) AS loss FROM train_telemetry WHERE loss IS NOT NULL AND NOT isnan(loss) GROUP BY 1, 2),
+k AS (SELECT *, (row_number() OVER w - 1)::DOUBLE AS k, first_value(loss) OVER w AS v0 FROM s WINDOW w AS (PARTITION BY run_name ORDER BY train_step)),
+e AS (SELECT *, sum(loss * power(0.99::DOUBLE, -k)) OVER (PARTITION BY run_name ORDER BY train_step) AS acc FROM k)
+SELECT run_name, train_step, round(loss, 9) AS loss, round(power(0.99::DOUBLE, k + 1) * v0 + 0.01 * power(0.99::DOUBLE, k) * acc, 6) AS ema FROM e""")
 def telemetry_ema(spark: SparkSession, folder: str) -> DataFrame:
-    return telemetry.running_average(table(spark, folder, "train_telemetry"), 0.99).withColumn("ema", F.round("ema", 6))
+    return telemetry.running_average(table(spark, folder, "train_telemetry"), 0.99).withColumn("ema", F.round("ema", 6)).withColumn("loss", F.round("loss", 9))
 
 
 @query("SELECT run_name, train_step FROM train_telemetry WHERE train_step % 200 = 0")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.operators.algebra import place_in_group, with_position
+
 
 def interval_counts(log: DataFrame, interval: int, step: str = "train_step", source: str = "dataset_id", run: str = "run_name", n: str = "n_samples") -> DataFrame:
     """run, interval_no, source, n_samples and ratio to all sources of the interval. Works on batch tables; on streams use interval_counts_stream."""
@@ -32,23 +35,33 @@ def windowed_counts_stream(log: DataFrame, window: str = "1 hour", late: str = "
 
 
 def running_average(log: DataFrame, decay: float, step: str = "train_step", value: str = "loss", run: str = "run_name") -> DataFrame:
-    """run, step, value, ema: e = decay e + (1 - decay) v in the order of steps, beginning with the first value. Lists of a run's steps are folded natively; null and NaN values are left out.
+    """run, step, value, ema: e = decay e + (1 - decay) v in the order of steps, beginning with the first value.
 
-    The logs of one run are a bounded list (one line per step); runs are spread over tasks.
+    Lines of one step are averaged first; null and NaN values and null steps are left out. The steps of a run are cut into blocks of bounded length. Within a block the
+    average is a running sum of values over powers of decay; what a block passes on is worked out over one number per block, so even a single long run is spread over tasks.
     """
-    usable = log.where(F.col(value).isNotNull() & ~F.isnan(value))
-    steps = usable.groupBy(run, step).agg(F.avg(value).alias("v"))
-    lists = steps.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), F.col("v")))).alias("xs"))
-    schema = f"{run} string, {step} long, {value} double, ema double"
-
-    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r, xs in zip(part[run], part["xs"], strict=True):
-                frame = pd.DataFrame([(x["s"], x["v"]) for x in xs], columns=[step, value])
-                frame["ema"] = frame[value].ewm(alpha=1 - decay, adjust=False).mean()
-                yield frame.assign(**{run: r})[[run, step, value, "ema"]]
-
-    return lists.mapInPandas(fold, schema)
+    if not 0 < decay < 1:
+        raise ValueError("decay must be between 0 and 1")
+    size = max(1, min(1024, int(-250 / math.log10(decay))))
+    usable = log.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(step).isNotNull())
+    steps = usable.groupBy(run, step).agg(F.avg(value).alias(value))
+    placed = place_in_group(with_position(steps, step), [run], "pos", "place")
+    spots = placed.select(run, step, value, F.floor(F.col("place") / size).alias("block"), (F.col("place") % size).cast("double").alias("j"))
+    d = F.lit(float(decay))
+    inside = Window.partitionBy(run, "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    summed = spots.withColumn("own", (1 - d) * F.pow(d, "j") * F.sum(F.col(value) * F.pow(d, -F.col("j"))).over(inside))
+    blocks = summed.groupBy(run, "block").agg(F.max_by("own", "j").alias("own"), (F.max("j") + 1).alias("n"), F.min_by(value, "j").alias("first"))
+    lists = blocks.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("block", "own", "n", "first"))).alias("bs"))
+    begun = F.struct(F.get("bs", F.lit(0))["first"].alias("carry"), F.array().cast("array<struct<block: bigint, carry: double>>").alias("out"))
+    passed = F.aggregate(
+        "bs",
+        begun,
+        lambda a, b: F.struct((F.pow(d, b["n"]) * a["carry"] + b["own"]).alias("carry"), F.concat(a["out"], F.array(F.struct(b["block"].alias("block"), a["carry"].alias("carry")))).alias("out")),
+        lambda a: a["out"],
+    )
+    carries = lists.select(run, F.explode(passed).alias("c")).select(run, "c.block", "c.carry")
+    joined = summed.join(carries, [run, "block"])
+    return joined.select(run, step, value, (F.pow(d, F.col("j") + 1) * F.col("carry") + F.col("own")).alias("ema"))
 
 
 def running_average_stream(log: DataFrame, decay: float, value: str = "loss", step: str = "train_step", run: str = "run_name") -> DataFrame:

@@ -214,7 +214,7 @@ def test_streams_equal_tables(spark, tmp_path):
     e = None
     for r in ema:
         e = r["loss"] if e is None else 0.9 * e + 0.1 * r["loss"]
-        assert r["ema"] == pytest.approx(e)
+        assert r["ema"] == pytest.approx(e, rel=1e-9)
     one = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 10).parquet(str(tmp_path / "log"))
     run = telemetry.running_average_stream(one, 0.9).writeStream.outputMode("append").format("memory").queryName("ema").trigger(availableNow=True).start()
     run.awaitTermination()
