@@ -6,7 +6,7 @@ coordination and stays the same when a lost task runs again. Records become sort
 the tuples are grouped; the texts themselves are shuffled only once, for the distinct values.
 
 Null and empty captions, and captions without a letter, mark or digit, do not count. Records without any caption left form
-no group. Null ids take no part. Very long texts need no special path, as only identifiers travel after the dictionary.
+no group. Null ids take no part; ids are unique, so rows that share one are taken for one record with all their values. Very long texts need no special path, as only identifiers travel after the dictionary.
 """
 
 from __future__ import annotations

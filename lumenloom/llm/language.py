@@ -9,7 +9,7 @@ one product of its presence matrix with that matrix.
 The sample holds at most SAMPLE_ROWS rows per language, chosen by a hash of the id; segments that the first fit contradicts
 (wrong labels) are left out of the second. Every row of the data is scored, with all its text.
 
-Null and empty captions have no segments; rows without a segment that is a running sentence get no language. Null ids are kept as they are.
+Null and empty captions have no segments; rows without a segment that is a running sentence get no language. Null ids are kept as they are; rows that share an id are one record.
 An input without a single labelled sentence cannot be fitted and gives null languages.
 """
 
@@ -283,6 +283,6 @@ def wrong_labels(df: DataFrame, id_col: str = "row_id", label: str = "lang", col
     """<id>, true_lang: the languages of each record whose label names none or another one, or which holds two."""
     rows = row_languages(df, id_col, label, column)
     # all rows of a record come out of one batch, but Spark need not know; a record has at most one row per language
-    both = rows.groupBy(id_col).agg(F.first("label").alias("label"), F.collect_list("language").alias("held"))
+    both = rows.groupBy(id_col).agg(F.first("label").alias("label"), F.array_sort(F.collect_set("language")).alias("held"))
     wrong = both.where((F.size("held") > 1) | F.col("label").isNull() | ~F.array_contains("held", F.coalesce("label", F.lit(""))))
     return wrong.select(id_col, F.explode("held").alias("true_lang"))

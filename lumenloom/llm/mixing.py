@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.operators.skew import join_hot_keys_apart
+
 #: The steps into which hash values are counted when the records of a length are chosen; one step at most is ranked.
 STEPS = 4096
 
@@ -246,6 +248,8 @@ def draw(records: DataFrame, plan: DataFrame, id_col: str, length: Column, seed:
     placed = coded.join(steps.select(source, "length", "step", "before", "n"), [source, "length", "step"])
     rank = Window.partitionBy(source, "length", "step").orderBy("h", id_col)
     ranked = placed.withColumn("rank", F.col("before") + F.row_number().over(rank))
-    # wanted has one row per entry and length: bounded by the entries times the distinct lengths
-    mixed = ranked.join(wanted, [source, "length"])
-    return mixed.select("mix_id", id_col, (F.col("copies") + F.when(F.col("rank") <= F.col("extra"), 1).otherwise(0)).alias("copies")).where("copies > 0")
+    # one row per source and length, with what each mix wants of it; frequent ones are joined where their records are
+    mixes = wanted.groupBy(source, "length").agg(F.collect_list(F.struct("mix_id", "copies", "extra")).alias("mixes"))
+    sized = mixes.join(steps.groupBy(source, "length").agg(F.sum("n").alias("n")), [source, "length"])
+    mixed = join_hot_keys_apart(ranked.select(id_col, source, "length", "rank"), sized, [source, "length"], "n").select(id_col, "rank", F.explode("mixes").alias("m"))
+    return mixed.select("m.mix_id", id_col, (F.col("m.copies") + F.when(F.col("rank") <= F.col("m.extra"), 1).otherwise(0)).alias("copies")).where("copies > 0")

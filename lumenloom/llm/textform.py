@@ -44,6 +44,8 @@ def _visible(ch: str) -> str:
         return ""
     if unicodedata.category(ch) == "Zs":
         return " "
+    if ord(ch) in TO_LATIN and unicodedata.normalize("NFKC", ch) != ch:
+        return TO_LATIN[ord(ch)]  # the compatibility form would have another shape
     return "-" if ch in "‐‑" else ch
 
 
