@@ -120,13 +120,14 @@ def log_mean_coefficient(t: Column, low: float = 0.1, high: float = 20.0) -> Col
 def mix_preserving(z0: Column, z1: Column, t: Column, low: float = 0.1, high: float = 20.0) -> Column:
     """The variance-preserving path; z0 is the noise."""
     c = log_mean_coefficient(t, low, high)
-    return F.zip_with(z0, z1, lambda a, b: F.exp(c) * b + F.sqrt(1 - F.exp(2 * c)) * a)
+    return let(F.struct(F.exp(c).alias("data"), F.sqrt(1 - F.exp(2 * c)).alias("noise")), lambda k: F.zip_with(z0, z1, lambda a, b: k["data"] * b + k["noise"] * a))
 
 
 def preserving_velocity(z0: Column, z1: Column, t: Column, low: float = 0.1, high: float = 20.0) -> Column:
     c, beta = log_mean_coefficient(t, low, high), low + t * (high - low)
     var = 1 - F.exp(2 * c)
-    return F.zip_with(z0, z1, lambda a, b: -0.5 * beta * F.exp(c) * b + beta * (1 - var) / (2 * F.sqrt(var) + 1e-6) * a)
+    parts = F.struct((-0.5 * beta * F.exp(c)).alias("data"), (beta * (1 - var) / (2 * F.sqrt(var) + 1e-6)).alias("noise"))
+    return let(parts, lambda k: F.zip_with(z0, z1, lambda a, b: k["data"] * b + k["noise"] * a))
 
 
 def mean_square(a: Column, b: Column) -> Column:
@@ -164,14 +165,16 @@ def solve(x: Column, field: Callable[[Column, Column], Column], times: Column, m
     if method not in ("euler", "heun"):
         raise ValueError(f"unknown method {method!r}")
 
-    def step(state: Column, i: Column) -> Column:
-        a, b = F.get(times, i), F.get(times, i + 1)
-        v = field(state, a)
-        if method == "euler":
-            return euler(state, v, b - a)
-        return heun(state, v, field(euler(state, v, b - a), b), b - a)
+    def step(state: Column, a: Column, b: Column) -> Column:
+        def move(v: Column, dt: Column) -> Column:
+            if method == "euler":
+                return euler(state, v, dt)
+            return heun(state, v, field(euler(state, v, dt), b), dt)
 
-    return F.aggregate(F.sequence(F.lit(0), F.size(times) - 2), x, step)
+        return let(b - a, lambda dt: let(field(state, a), lambda v: move(v, dt)))
+
+    spans = F.transform(F.sequence(F.lit(0), F.size(times) - 2), lambda i: F.struct(F.get(times, i).alias("a"), F.get(times, i + 1).alias("b")))
+    return F.aggregate(spans, x, lambda state, s: step(state, s["a"], s["b"]))
 
 
 def guided(cond: Column, uncond: Column, scale: float) -> Column:

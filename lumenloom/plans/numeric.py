@@ -26,10 +26,8 @@ def _pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _summed(df: DataFrame, **columns: Column) -> DataFrame:
     """row_id and, per column, the sum and the fifth value of an array."""
-    out = []
-    for name, c in columns.items():
-        out += [F.round(K.total(c), 5).alias(f"{name}_sum"), F.round(F.get(c, F.lit(4)), 6).alias(f"{name}_5")]
-    return df.select("row_id", *out)
+    pairs = [K.let(c, lambda v: F.struct(F.round(K.total(v), 5).alias("s"), F.round(F.get(v, F.lit(4)), 6).alias("v"))).alias(name) for name, c in columns.items()]
+    return df.select("row_id", *pairs).select("row_id", *[F.col(f"{n}.{f}").alias(f"{n}_{e}") for n in columns for f, e in (("s", "sum"), ("v", "5"))])
 
 
 def _sql(**columns: str) -> str:
