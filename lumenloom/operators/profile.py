@@ -17,9 +17,7 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 def distribution(df: DataFrame, key: str) -> DataFrame:
     """key, n_rows, percent of all rows."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("_all"))
-    # one row on the broadcast side
-    return counts.join(F.broadcast(total)).select(key, "n_rows", (F.col("n_rows") * 100.0 / F.col("_all")).alias("percent"))
+    return counts.select(key, "n_rows", (F.col("n_rows") * 100.0 / counts.agg(F.sum("n_rows")).scalar()).alias("percent"))
 
 
 def list_sizes(df: DataFrame, column: str) -> DataFrame:

@@ -72,6 +72,5 @@ def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     One counting pass; the total is the sum of the counts, so the table is read once.
     """
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows").alias("_total"))
-    # one row on the broadcast side, whatever the data
-    return counts.join(F.broadcast(total)).where(F.col(key).isNotNull() & (F.col("n_rows") > F.lit(share) * F.col("_total"))).drop("_total")
+    total = counts.agg(F.sum("n_rows")).scalar()
+    return counts.where(F.col(key).isNotNull() & (F.col("n_rows") > F.lit(share) * total))

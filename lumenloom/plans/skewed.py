@@ -26,9 +26,8 @@ def bucket_states(spark: SparkSession, folder: str) -> DataFrame:
 WHERE resolution_bucket_id IS NOT NULL AND n > 0.05 * (SELECT count(*) FROM precomputed)""")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     states = bucket_states(spark, folder)
-    # one row on the broadcast side
-    total = states.agg(F.sum("left_rows").alias("_all"))
-    return states.join(F.broadcast(total)).where(F.col("resolution_bucket_id").isNotNull() & (F.col("left_rows") > 0.05 * F.col("_all"))).select("resolution_bucket_id")
+    total = states.agg(F.sum("left_rows")).scalar()
+    return states.where(F.col("resolution_bucket_id").isNotNull() & (F.col("left_rows") > 0.05 * total)).select("resolution_bucket_id")
 
 
 @query("""WITH v AS (SELECT resolution_bucket_id, captions, list_filter(list_transform(latents, lambda x: x::DOUBLE), lambda x: isfinite(x)) AS z FROM precomputed)
