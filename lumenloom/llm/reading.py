@@ -60,7 +60,8 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 def measure(documents: DataFrame, id_col: str, text: str, share: float = SHARE, vocabulary: int = VOCABULARY) -> DataFrame:
     """<id>, n_words, english, coverage (ln of the coverage rank), sentence_words (ln of words per sentence), word_letters, long_words (share of words from 8 letters on)."""
-    top = word_counts(documents, text).orderBy(F.col("n").desc(), "word").limit(vocabulary)
+    # the candidates of all tasks meet in one task, not on the driver, which gets the bounded table only
+    top = word_counts(documents, text).orderBy(F.col("n").desc(), "word").limit(vocabulary).repartition(1)
     ranks = {r["word"]: k for k, r in enumerate(sorted(top.collect(), key=lambda r: (-r["n"], r["word"])), 1)}
     held = documents.sparkSession.sparkContext.broadcast(ranks)  # at most VOCABULARY words
     id_type = documents.schema[id_col].dataType.simpleString()
