@@ -78,3 +78,24 @@ def second_or_first(captions: Column, skip_empty: bool = False) -> Column:
     first, second = F.try_element_at(captions, F.lit(1)), F.try_element_at(captions, F.lit(2))
     use = F.coalesce(second, F.lit("")) != "" if skip_empty else F.size(captions) > 1
     return F.when(use, second).otherwise(first)
+
+
+def location_parts(url: Column, scheme: str) -> Column:
+    """struct(place, file): the first two parts behind a scheme, and the rest; null for texts without the scheme or a file."""
+    parts = F.split(F.substring(url, len(scheme) + 1, 1 << 30), "/")
+    whole = url.startswith(scheme) & (F.size(parts) > 2)
+    return F.when(whole, F.struct(F.array_join(F.slice(parts, 1, 2), "/").alias("place"), F.array_join(F.slice(parts, 3, 1 << 20), "/").alias("file")))
+
+
+def step_name(step: Column) -> Column:
+    return F.format_string("step_%06d", step)
+
+
+def bucket_name(bucket: Column, width: Column, height: Column) -> Column:
+    return F.format_string("bucket%d_%dx%d", bucket, height, width)
+
+
+def block_of(key: Column, prefix: str) -> Column:
+    """The number of the block to which a parameter belongs, from keys like prefix.7.name with or without a leading 'module.'; else null."""
+    bare = F.regexp_replace(key, r"^module\.", "")
+    return F.when(bare.startswith(prefix + "."), F.split_part(bare, F.lit("."), F.lit(2)).try_cast("int"))

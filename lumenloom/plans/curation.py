@@ -242,3 +242,23 @@ def chat_prompt(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT raw_id FROM raw_image_text WHERE raw_id NOT IN (SELECT raw_id FROM precomputed WHERE raw_id IS NOT NULL)")
 def pending_work(spark: SparkSession, folder: str) -> DataFrame:
     return readers.pending(_raw(spark, folder), table(spark, folder, "precomputed"), "raw_id").select("raw_id")
+
+
+@query("""SELECT raw_id, array_to_string(p[1:2], '/') AS place, array_to_string(p[3:], '/') AS file FROM (SELECT raw_id, url, string_split(substr(url, 9), '/') AS p FROM raw_image_text)
+WHERE starts_with(url, 'https://') AND len(p) > 2""")
+def location_parts(spark: SparkSession, folder: str) -> DataFrame:
+    found = _raw(spark, folder).select("raw_id", T.location_parts(F.col("url"), "https://").alias("p")).where("p is not null")
+    return found.select("raw_id", "p.place", "p.file")
+
+
+@query("SELECT resolution_bucket_id, printf('bucket%d_%dx%d', resolution_bucket_id, height, width) AS name, printf('step_%06d', resolution_bucket_id * 125) AS step FROM resolution_bucket")
+def file_names(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "resolution_bucket")
+    return df.select("resolution_bucket_id", T.bucket_name(F.col("resolution_bucket_id"), F.col("width"), F.col("height")).alias("name"), T.step_name(F.col("resolution_bucket_id") * 125).alias("step"))
+
+
+@query("SELECT count(DISTINCT b) AS n_blocks, max(b) + 1 AS depth FROM (SELECT resolution_bucket_id % 28 AS b FROM resolution_bucket)")
+def state_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Block count and depth from parameter names made of the bucket table."""
+    keys = table(spark, folder, "resolution_bucket").select(F.concat(F.lit("module.single_blocks."), (F.col("resolution_bucket_id") % 28).cast("string"), F.lit(".norm.weight")).alias("key"))
+    return keys.select(T.block_of(F.col("key"), "single_blocks").alias("b")).agg(F.count_distinct("b").alias("n_blocks"), (F.max("b") + 1).alias("depth"))

@@ -219,3 +219,23 @@ def test_streams_equal_tables(spark, tmp_path):
     run = telemetry.running_average_stream(one, 0.9).writeStream.outputMode("append").format("memory").queryName("ema").trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.table("ema").orderBy(F.col("train_step").desc()).first()["ema"] == pytest.approx(e)
+
+
+def test_windows_of_event_time(spark, tmp_path):
+    log = spark.createDataFrame([(i * 600, i % 2, 3) for i in range(60)], "sec long, dataset_id int, n_samples int").withColumn("logged_at", F.timestamp_seconds("sec"))
+    log.write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).parquet(str(tmp_path / "log"))
+    counts = telemetry.windowed_counts_stream(stream, "1 hour", "2 hours")
+    run = counts.writeStream.outputMode("append").format("memory").queryName("windows").trigger(availableNow=True).start()
+    run.awaitTermination()
+    rows = spark.table("windows").collect()
+    assert rows and all(r["n_lines"] == 3 and r["n_samples"] == 9 for r in rows)
+
+
+def test_names(spark):
+    from lumenloom.functions import text as T
+
+    assert _one(spark, T.location_parts(F.lit("hf://a/b/c/d.bin"), "hf://"))[:] == ("a/b", "c/d.bin")
+    assert _one(spark, T.location_parts(F.lit("hf://a/b"), "hf://")) is None
+    assert _one(spark, T.step_name(F.lit(42))) == "step_000042"
+    assert [_one(spark, T.block_of(F.lit(k), "blocks")) for k in ("module.blocks.7.w", "blocks.x.w", "other.7")] == [7, None, None]
