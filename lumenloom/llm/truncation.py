@@ -34,8 +34,8 @@ from lumenloom.session import cut_lineage
 KNOWN, RARE = 2, 30
 #: An opening tells something about sentence ends from so many whole sentences on.
 TELLING = 5
-#: A length is a field limit if so many times more texts without a stop have it than a neighbouring length.
-SPIKE = 4.0
+#: A length is a field limit if so many times more texts without a stop have it than a neighbouring length, and such a share of all of them.
+SPIKE, SPIKE_SHARE = 4.0, 0.003
 
 _TOKEN = re.compile(r"[⺀-〇〡-鿿가-힯豈-﫿]|[^\W_⺀-鿿가-힯豈-﫿]+(?:['’-][^\W_⺀-鿿가-힯豈-﫿]+)*")
 _CJK = re.compile(r"[⺀-〇〡-鿿가-힯豈-﫿]")
@@ -157,7 +157,8 @@ def judged(df: DataFrame, id_col: str = "row_id", column: str = "captions", sour
 
     by_length = texts.where("not single or tokens > 8").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     around = by_length.select(F.explode(F.array(*[F.col("length") + k for k in (-4, -3, -2, -1, 1, 2, 3, 4)])).alias("length"), "n").groupBy("length").agg((F.sum("n") / 8).alias("near"))
-    spikes = by_length.join(around, "length", "left").where(f"n >= 4 and n >= {SPIKE} * coalesce(near, 0)").select("length", F.col("n").alias("spike"))
+    enough = F.greatest(F.lit(4.0), SPIKE_SHARE * by_length.agg(F.sum("n")).scalar())
+    spikes = by_length.join(around, "length", "left").where((F.col("n") >= enough) & (F.col("n") >= SPIKE * F.coalesce("near", F.lit(0)))).select("length", F.col("n").alias("spike"))
 
     asked = texts.select("id", "no", F.explode(F.expr("array(named_struct('kind', 1, 'key', k1), named_struct('kind', 2, 'key', k2), named_struct('kind', 3, 'key', k3), named_struct('kind', 4, 'key', k4), named_struct('kind', 5, 'key', k1))")).alias("q"))
     answers = join_hot_keys_apart(asked.select("id", "no", F.col("q.kind").alias("kind"), F.col("q.key").alias("key")), counts, ["kind", "key"], "n")
