@@ -1,15 +1,15 @@
 """Exact and near overlaps of evaluation records with training records (problem 7).
 
-Normalised records are cut into content-defined chunks: a rolling hash over the last two words ends a chunk where its value
-says so, so the same run of words is cut alike wherever it stands. Chunk digests are joined across the splits, and the shared
-chunk lengths, as a share of a record's length, say how much of it is in the other. Latent vectors never shift, so they are
-cut at fixed places, and their values are rounded to bins of most of a spread, once from 0 and once from half a bin, so that
-small differences leave some chunk unchanged.
-
-Candidates come from a join on rare chunks that loses no pair with overlap OVERLAP or more: the chunks of a record are ordered by
-how many records have them, and only the rarest are kept, until less than OVERLAP of the record is left. Records travel with the
+Texts. Of n words fewer than one in ten may be changed, so at most k = (n - 1) // 9 edits lead to a near record, and of k + 1 pieces that do not
+overlap one stands in it unchanged, at most k words from its own place in a caption. Each evaluation record is cut into k + 1 pieces
+of equal length, none over two captions; every training record looks up all its runs of up to PIECE words. No near pair is lost, wherever the changes stand.
+What evaluation records ask for is sent as a bitmap of fixed size (a Bloom filter of one hash), so that only runs that can meet a
+piece are shuffled; digests hold the class of length and the place in the caption besides the words. Records travel with the
 bits of their words; more differing bits than twice the allowed changes prove that a pair is none, before anything else
-about it is shuffled. What is left is checked exactly: by word edits of the best caption alignment, or by values.
+about it is shuffled. What is left is checked exactly, by word edits of the best caption alignment.
+
+Latent vectors never shift, so they are cut at fixed places, and their values are rounded to bins of most of a spread, once from 0
+and once from half a bin, so that small differences leave some chunk unchanged; candidates are checked by their values.
 
 Copies (the same letters and digits, caption order aside, or the same values) are one class; only one record of a class is searched, and
 its links hold for the members. Nulls: a record without a non-blank caption takes no part, whatever its latents; null captions
@@ -18,6 +18,7 @@ and values that are NaN or infinite match nothing; null ids or splits take no pa
 
 from __future__ import annotations
 
+import itertools
 import math
 from hashlib import blake2b
 
@@ -30,12 +31,12 @@ from lumenloom.llm.textform import words
 from lumenloom.operators.skew import join_hot_keys_apart
 from lumenloom.session import cut_lineage
 
-#: Share of a record that must stand in shared chunks.
-OVERLAP = 0.25
 #: Largest share of words that may be changed, added or missing.
 CHANGED = 0.1
-#: (one cut in so many places, fewest words, most words), for languages with and without blanks.
-CUTS = {"words": (6, 3, 15), "characters": (12, 7, 30)}
+#: Words of the longest piece: n // (k + 1) is never more.
+PIECE = 9
+#: Bits of the bitmap of pieces, as a power of 2. A full one costs shuffles of runs that meet nothing, no pair.
+MAP = 27
 #: Bins of latent values, and the most that same pictures differ by (root mean square), both in spreads.
 BIN, NEAR = 0.75, 0.15
 LATENT_CHUNKS = 5
@@ -46,6 +47,7 @@ BITS = ("b1", "b2", "b3", "b4")
 #: A table is broadcast only if it has been counted to have at most so many rows (of four numbers).
 SMALL = 300_000
 _STEP = math.log(1 / (1 - CHANGED)) * 1.02
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(PIECE)], dtype=np.uint64)
 
 
 class _Hashes(dict):
@@ -58,22 +60,109 @@ class _Hashes(dict):
         return h
 
 
-def cut(hashes: list[int], mod: int, least: int, most: int) -> list[tuple[int, int]]:
-    """(digest, number of words) of the content-defined chunks of a text given by its word hashes."""
-    out, chunk, before = [], [], 0
-    for h in hashes:
-        chunk.append(h)
-        if len(chunk) >= most or len(chunk) >= least and ((before * 31 + h) >> 9) % mod == 0:
-            out.append((hash(tuple(chunk)), len(chunk)))
-            chunk = []
-        before = h
-    if chunk:
-        out.append((hash(tuple(chunk)), len(chunk)))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def size_class(n: int) -> int:
+    """Records of which less than CHANGED of the words differ are at most one class apart."""
+    return math.floor(math.log(n) / _STEP)
+
+
+def _reach(size: int) -> int:
+    """Words of a place; no record of this class may have more edits."""
+    return int(math.exp((size + 1) * _STEP) / PIECE) + 1
+
+
+def _placed(plain: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Digests of runs of words in a class of length and a place of a caption."""
+    return _mix(plain + (size + 7).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.int64).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+
+
+def pieces(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests without and with class and place of k + 1 pieces of a record given by the word hashes of its captions; none if k is 0, as such a near record is a copy."""
+    n = sum(map(len, texts))
+    k = (n - 1) // PIECE
+    if k < 1:
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
+    g = n // (k + 1)
+    while sum(len(t) // g for t in texts) < k + 1:
+        g -= 1
+    starts, at, base = [], [], 0
+    for t in texts:
+        c = len(t) // g
+        at += [j * len(t) // c for j in range(c)]
+        starts += [base + j * len(t) // c for j in range(c)]
+        base += len(t)
+    flat = np.array([h for t in texts for h in t], dtype=np.uint64)
+    plain = _mix((flat[np.array(starts[: k + 1])[:, None] + np.arange(g)] * _POWERS[:g]).sum(1, dtype=np.uint64) + np.uint64(g))
+    size = size_class(n)
+    return plain, _placed(plain, np.array([size]), np.array(at[: k + 1]) // _reach(size))
+
+
+def asked_runs(records: list[list[list[int]]], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of records, digest with class and place) of all runs of up to PIECE words that may be a piece, by the bitmap, each once and in order of rows; and BITS of each record."""
+    lengths = np.array([len(t) for r in records for t in r])
+    sizes = np.array([sum(map(len, r)) for r in records])
+    flat = np.fromiter((h for r in records for t in r for h in t), dtype=np.uint64, count=int(sizes.sum()))
+    n = len(flat)
+    row = np.repeat(np.arange(len(records)), sizes)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    classes = np.array([size_class(int(x)) for x in sizes])
+    reach = np.array([_reach(k) for k in range(int(classes.max()) + 2)])
+    total, rows, out = np.zeros(n, dtype=np.uint64), [row[:0]], [np.zeros(0, dtype=np.uint64)]
+    for g in range(1, min(PIECE, n) + 1):
+        total = total[: n - g + 1] + flat[g - 1 :] * _POWERS[g - 1]
+        plain = _mix(total + np.uint64(g))
+        met = np.flatnonzero(_is_asked(plain, asked) & (np.arange(n - g + 1) + g <= ends[: n - g + 1]))
+        for step in (-1, 0, 1):
+            size = np.maximum(classes[row[met]] + step, 0)
+            for shift in (-1, 0, 1):
+                d = _placed(plain[met], size, at[met] // reach[size] + shift)
+                good = _is_asked(d, asked)
+                rows.append(row[met][good])
+                out.append(d[good])
+    of, digests = np.concatenate(rows), np.concatenate(out)
+    order = np.lexsort((digests, of))
+    of, digests = of[order], digests[order]
+    first = np.ones(len(of), dtype=bool)
+    first[1:] = (of[1:] != of[:-1]) | (digests[1:] != digests[:-1])
+    return of[first], digests[first], word_bits(flat, row, len(records))
+
+
+def word_bits(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """BITS of n records, as record_pieces has them, from the hashes of their words and the record of each word."""
+    order = np.lexsort((flat, row))
+    h, r = flat[order], row[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
+    at = np.arange(len(h))
+    times = at - np.maximum.accumulate(np.where(new, at, 0)) + 1
+    bit = (h * times.astype(np.uint64) >> np.uint64(7)) & np.uint64(255)
+    out = np.zeros((n, len(BITS)), dtype=np.uint64)
+    np.bitwise_or.at(out, (r, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _is_asked(digests: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    x = digests & np.uint64(2**MAP - 1)
+    return (asked[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def asked_map(reps: DataFrame) -> np.ndarray:
+    """The bitmap of the pieces of records in evaluation splits, of 2**MAP bits; no more words of 64 bits reach the driver."""
+    x = reps.where("in_eval").select(F.explode("pieces").alias("c")).select(F.explode(F.array("c.p", "c.d")).alias("x"))
+    bits = x.groupBy(F.expr(f"cast((x & {2**MAP - 1}) >> 6 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(2 ** (MAP - 6), dtype=np.uint64)
+    out[bits.column("w").to_numpy()] = bits.column("m").to_numpy().view(np.uint64)
     return out
 
 
-def record_chunks(df: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
-    """<id>, train, k1, k2 (copies' key), n words, b1 to b4 (bits of the words, each with how often it has been met), chunks (digest, length) of each record with words."""
+def record_pieces(df: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
+    """<id>, train, k1, k2 (copies' key), n words, b1 to b4 (bits of the words, each with how often it has been met), pieces (digests) of each record with words."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def chunk(batches):
@@ -86,29 +175,51 @@ def record_chunks(df: DataFrame, id_col: str, train: Column, column: str) -> Dat
                 if not texts:
                     continue
                 key = blake2b("\x1f".join(sorted("".join(w) for w in texts)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                n, bits, chunks, times = 0, 0, {}, {}
-                for text in texts:
-                    single = sum(len(w) == 1 for w in text)
-                    hashes = [known[w] for w in text]
-                    for h in hashes:
-                        times[h] = k = times.get(h, 0) + 1
-                        bits |= 1 << ((h * k >> 7) & 255)
-                    n += len(text)
-                    for d, size in cut(hashes, *CUTS["characters" if single * 2 > len(text) else "words"]):
-                        chunks[d] = chunks.get(d, 0) + size
-                out.append((i, side, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), n, *(_signed((bits >> k) & (2**64 - 1)) for k in (0, 64, 128, 192)), [{"d": d, "l": size} for d, size in chunks.items()]))
+                bits, times = 0, {}
+                hashes = [[known[w] for w in text] for text in texts]
+                for h in itertools.chain.from_iterable(hashes):
+                    times[h] = k = times.get(h, 0) + 1
+                    bits |= 1 << ((h * k >> 7) & 255)
+                n = sum(map(len, hashes))
+                plain, placed = (x.view(np.int64).tolist() for x in pieces(hashes))
+                out.append((i, side, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), n, *(_signed((bits >> k) & (2**64 - 1)) for k in (0, 64, 128, 192)), [{"p": p, "d": d} for p, d in zip(plain, placed, strict=True)]))
             yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=schema)
 
-    names = [id_col, "train", "k1", "k2", "n", *BITS, "chunks"]
+    names = [id_col, "train", "k1", "k2", "n", *BITS, "pieces"]
     slim = df.select(id_col, train.alias("train"), column)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, n int, {", ".join(f"{b} long" for b in BITS)}, chunks array<struct<d: long, l: int>>"
+    ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, n int, {", ".join(f"{b} long" for b in BITS)}, pieces array<struct<p: long, d: long>>"
     schema = to_arrow_schema(StructType.fromDDL(ddl))
     return slim.mapInArrow(chunk, ddl)
 
 
+def record_runs(df: DataFrame, id_col: str, train: Column, column: str, asked: np.ndarray) -> DataFrame:
+    """<id>, train, n, b1 to b4, ds: digests of the runs of words of each record that may be a piece of another."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def look(batches):
+        known = _Hashes()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts = [[[known[w] for w in x] for x in (words(t) for t in captions if t) if x] for captions in batch.column(2).to_pylist()]
+                kept = [k for k, x in enumerate(texts) if x]
+                if not kept:
+                    continue
+                texts = [texts[k] for k in kept]
+                of, digests, bits = asked_runs(texts, asked)
+                offsets = np.searchsorted(of, np.arange(len(kept) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(digests.view(np.int64)))
+                sizes = pa.array([sum(map(len, x)) for x in texts], pa.int32())
+                some = pa.array(np.diff(offsets) > 0)
+                columns = [batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), sizes, *[pa.array(bits[:, k].copy()) for k in range(len(BITS))], lists]
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "train", "n", *BITS, "ds"]).filter(some)
+
+    return df.select(id_col, train.alias("train"), column).mapInArrow(look, f"{id_col} {id_type}, train boolean, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>")
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -132,25 +243,18 @@ def representatives(records: DataFrame, members: DataFrame, id_col: str) -> Data
     return joined.withColumn("in_train", F.coalesce("in_train", "train")).withColumn("in_eval", F.coalesce("in_eval", ~F.col("train"))).drop("rep", "train")
 
 
-def candidate_pairs(reps: DataFrame, id_col: str, overlap: float) -> DataFrame:
-    """a (of a class in train), b (of a class in evaluation splits), from shared rare chunks; within the bounds on length and differing bits.
+def candidate_pairs(df: DataFrame, reps: DataFrame, members: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
+    """a (of a class in train), b (of a class in evaluation splits), from pieces of b that stand in a; within the bounds on length and differing bits.
 
     A class in both splits stands on both sides; a pair of a class with itself is left out.
     """
-    places = reps.select(id_col, "in_train", "in_eval", F.explode("chunks").alias("c")).select(id_col, "in_train", "in_eval", F.col("c.d").alias("d"), F.col("c.l").alias("l"))
-    known = places.groupBy("d").agg(F.count(F.lit(1)).alias("df"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("t and e and df > 1").select("d", "df")
-    shared = places.select(id_col, "d", "l").join(known, "d")
-    own = shared.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("df", "d", "l"))).alias("cs"), F.sum("l").alias("m"))
-    # chunks that nobody shares come first in the order of rarity, so what they weigh is gone before the first shared one
-    with_head = own.join(reps.drop("chunks"), id_col).where(F.col("m") >= F.lit(overlap) * F.col("n"))
-    rest = "aggregate(cs, named_struct('left', m, 'keep', cast(array() as array<bigint>)), (s, c) -> named_struct('left', s.left - c.l, 'keep', if(s.left >= {0} * n, concat(s.keep, array(c.d)), s.keep)), s -> s.keep)"
-    prefix = with_head.select(id_col, "n", *BITS, "in_train", "in_eval", F.explode(F.expr(rest.format(overlap))).alias("d"), F.floor(F.log("n") / F.lit(_STEP)).cast("int").alias("size"))
-    a = prefix.where("in_train").select("d", "size", F.col(id_col).alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in BITS])
-    b = prefix.where("in_eval").select("d", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), F.col(id_col).alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"e{c}") for c in BITS])
+    runs = representatives(record_runs(df, id_col, train, column, asked_map(reps)), members, id_col).where("in_train")
+    a = runs.select(F.col(id_col).alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in BITS], F.explode("ds").alias("d"))
+    b = reps.where("in_eval").select(F.col(id_col).alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"e{c}") for c in BITS], F.explode(F.array_distinct("pieces.d")).alias("d"))
     most = F.lit(CHANGED) * F.greatest("na", "nb")
     bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"e{c}"))) for c in BITS)
     near = (F.abs(F.col("na") - F.col("nb")) <= most) & (bits <= 2 * most)
-    return a.join(b, ["d", "size"]).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    return a.join(b, "d").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
 
 
 def edits(a: list[str], b: list[str], most: int) -> int:
@@ -199,10 +303,10 @@ def _with_values(pairs: DataFrame, df: DataFrame, id_col: str, column: str) -> D
     return pairs.join(some.select(F.col(id_col).alias("a"), F.col(column).alias("va")), "a").join(some.select(F.col(id_col).alias("b"), F.col(column).alias("vb")), "b")
 
 
-def near_texts(df: DataFrame, records: DataFrame, members: DataFrame, id_col: str, column: str) -> DataFrame:
+def near_texts(df: DataFrame, records: DataFrame, members: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
     """a, b, shared: pairs of representatives of which less than CHANGED of the words differ, checked word by word."""
     reps = representatives(records, members, id_col)
-    pairs = cut_lineage(candidate_pairs(reps, id_col, OVERLAP))
+    pairs = cut_lineage(candidate_pairs(df, reps, members, id_col, train, column))
     id_type = df.schema[id_col].dataType.simpleString()
 
     def check(batches):
@@ -320,9 +424,9 @@ def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
     usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
     in_train = F.col(split) == train
-    records = cut_lineage(record_chunks(usable, id_col, in_train, column))
+    records = cut_lineage(record_pieces(usable, id_col, in_train, column))
     members = copies(records, id_col)
-    by_text = _expand(near_texts(usable, records, members, id_col, column), members, id_col)
+    by_text = _expand(near_texts(usable, records, members, id_col, in_train, column), members, id_col)
     links, members = near_latents(usable, id_col, in_train, latents)
     by_value = _expand(links, members, id_col)
     both = by_text.union(by_value).where("x <> y")

@@ -253,3 +253,21 @@ def test_reading_held_out(spark):
 def test_folds():
     assert words("Ｃａｆе́, “l’été” — 画面 123") == ["cafe", "l", "ete", "画", "面", "123"]
     assert fold("a​b") == "ab"
+
+
+def test_overlaps_with_scattered_changes(spark):
+    r = random.Random(11)
+    fresh = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    rows, want = [], set()
+    for i in range(120):
+        w = [chr(0x4E00 + r.randrange(4000)) for _ in range(r.randrange(31, 150))] if i % 2 else [fresh() for _ in range(r.randrange(11, 100))]
+        changed = list(w)
+        for k in r.sample(range(len(w)), (len(w) - 1) // 10):  # as many as a near record may have, at random places
+            changed[k] = chr(0x4E00 + 4000 + r.randrange(900)) if i % 2 else fresh()
+        more = [fresh() for _ in range(4)] if i % 3 == 0 else []
+        glue = "" if i % 2 else " "
+        rows.append((i, "train", [glue.join(w), " ".join(more)], None))
+        rows.append((1000 + i, "eval", [" ".join(more), glue.join(changed)], None))
+        want.add((i, 1000 + i))
+    df = spark.createDataFrame(rows, "row_id long, data_split string, captions array<string>, latents array<float>")
+    assert {tuple(x) for x in overlap.cross_split_pairs(df).collect()} == want
