@@ -3,7 +3,8 @@
 Latent semantic retrieval. Words (characters of Chinese, Japanese and Korean text in pairs) are hashed to TERMS terms whose document frequencies are counted over the whole
 corpus. A randomised SVD of TF-IDF passages, distributed over tasks, gives RANK latent directions; it is fitted on the items' passages and
 a bounded sample of documents (SAMPLE_DOCUMENTS, by hash of the id), and then every passage of every document is projected and held
-against the items' passages by cosine. A document with a passage near an item is checked: common runs of words, in the item's order and
+against the items' passages by cosine. As an item may stand in two short pieces, which half fill a passage and need not be near, the cosine leaves
+nothing out: a document is checked against every item of which it has runs of RUN words that together are long enough. Common runs of words, in the item's order and
 with few changed words between them, are put together to pieces, and the best one or two pieces, in order, must hold WORDS words of the item
 (CHARACTERS of a Chinese, Japanese or Korean one). This is a longest common subsequence whose gaps are bounded, as the plain one grows with any long text.
 For paraphrases the check also says which share of the item's answers, its rarest terms, stands in the document.
@@ -32,7 +33,7 @@ WORDS, CHARACTERS = 24, 36
 TERMS, RANK, OVERSAMPLING = 1 << 13, 40, 8
 #: Words of a block; a passage is two blocks that follow each other, and the next one begins a block later.
 BLOCK = 12
-#: Cosine from which a passage is a candidate, and at most so many groups of items' passages in the first look.
+#: Cosine from which a passage is near an item by the latent search; pairs below are checked as well, by their runs. And at most so many groups of items' passages in the first look.
 NEAR, GROUPS = 0.8, 64
 SAMPLE_DOCUMENTS = 600
 #: Words of a run; words of a gap within a piece; words of the shortest piece.
@@ -214,6 +215,14 @@ def held(found: list[list[int]], sizes: list[int], cjk: bool) -> int:
     return best
 
 
+def _run_hashes(words: list[np.ndarray] | np.ndarray) -> np.ndarray:
+    """20 bits of each run, given by its first, second, and further words."""
+    h = np.zeros(len(words[0]), dtype=np.int64)
+    for w in words:
+        h = (h + w) * np.int64(6364136223846793005)
+    return (h >> np.int64(40)) & np.int64((1 << 20) - 1)
+
+
 def item_sizes(passage: str, tokens: list[str], cjk: bool) -> list[int]:
     """The size of an item before each of its words, and its whole size."""
     if not cjk:
@@ -265,6 +274,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         for k, codes in enumerate(coded):
             for p in range(len(codes) - RUN + 1):
                 places[tuple(codes[p : p + RUN])].append((k, p))
+        known = np.zeros(1 << 20, dtype=bool)
+        if places:
+            known[_run_hashes(np.array(list(places), dtype=np.int64).T)] = True
         rare_sets = [set(x) for x in rare]
         for batch in batches:
             out: list[tuple] = []
@@ -293,21 +305,30 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
                     for d, k, c in zip(of[rows[row]].tolist(), grouped[j][1][column].tolist(), near[row, column].tolist(), strict=True):
                         if c > candidates.get((d, k), -1.0):
                             candidates[d, k] = c
-                by_document: dict[int, set[int]] = defaultdict(set)
-                for d, k in candidates:
-                    by_document[d].add(k)
-                for d, items_near in by_document.items():
-                    codes = [numbers.get(w, -1) for w in tokens[d]]
-                    seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-                    for q in range(len(codes) - RUN + 1):
-                        for k, p in places.get(tuple(codes[q : q + RUN]), ()):
-                            if k in items_near:
-                                seeds[k].append((p, q))
-                    present = set(lists[d])
-                    for k, found in seeds.items():
-                        n = held(pieces(coded[k], codes, found), sizes_of[k], cjk[k])
-                        if n >= (CHARACTERS if cjk[k] else WORDS):
-                            out.append((ids[k], batch.column(0)[lo + d].as_py(), n, n / sizes_of[k][-1], len(rare_sets[k] & present) / len(rare_sets[k]), round(candidates[d, k], 4)))
+                code_list = [numbers.get(w, -1) for x in tokens for w in x]
+                codes = np.array(code_list, dtype=np.int64)
+                document, begin = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+                hits = np.empty(0, dtype=np.int64)
+                if len(codes) >= RUN:
+                    runs = [codes[j : len(codes) - RUN + 1 + j] for j in range(RUN)]
+                    hits = np.flatnonzero(known[_run_hashes(runs)] & (document[: len(codes) - RUN + 1] == document[RUN - 1 :]))
+                    # a piece of SHORTEST_PIECE words has two runs at least
+                    hits = hits[np.bincount(document[hits], minlength=len(sizes))[document[hits]] >= 2]
+                seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+                for q, d in zip(hits.tolist(), document[hits].tolist(), strict=True):
+                    for k, p in places.get(tuple(code_list[q : q + RUN]), ()):
+                        seeds[d, k].append((p, q - int(begin[d])))
+                for (d, k), found in seeds.items():
+                    # what pieces hold of words stands at places of the document that their runs cover
+                    if not cjk[k] and len({q + j for _, q in found for j in range(RUN)}) < WORDS:
+                        continue
+                    text_codes = code_list[begin[d] : begin[d] + sizes[d]]
+                    n = held(pieces(coded[k], text_codes, found), sizes_of[k], cjk[k])
+                    if n >= (CHARACTERS if cjk[k] else WORDS):
+                        near_by = candidates.get((d, k))
+                        if near_by is None:
+                            near_by = float((passage[of == d] @ vectors[owner == k].T).max())
+                        out.append((ids[k], batch.column(0)[lo + d].as_py(), n, n / sizes_of[k][-1], len(rare_sets[k] & set(lists[d])) / len(rare_sets[k]), round(near_by, 4)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [item_id, doc_id, "n_words", "leaked_share", "answer_share", "cosine"])
 

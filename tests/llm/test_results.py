@@ -271,3 +271,20 @@ def test_overlaps_with_scattered_changes(spark):
         want.add((i, 1000 + i))
     df = spark.createDataFrame(rows, "row_id long, data_split string, captions array<string>, latents array<float>")
     assert {tuple(x) for x in overlap.cross_split_pairs(df).collect()} == want
+
+
+def test_leaks_in_two_short_pieces(spark):
+    r = random.Random(12)
+    fresh = lambda n: ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(n)]
+    items = [(k, fresh(100)) for k in range(12)]
+    docs, want = [], set()
+    for i in range(240):
+        k, at = r.randrange(12), r.randrange(0, 40)
+        # single words of other items stand around the pieces, so that a passage points elsewhere
+        passage, rest = items[k][1], [r.choice(items[(k + r.randrange(1, 12)) % 12][1]) for _ in range(90)]
+        cuts = sorted(r.sample(range(len(rest)), 2))
+        docs.append((i, " ".join(rest[: cuts[0]] + passage[at : at + 12] + rest[cuts[0] : cuts[1]] + passage[at + 40 : at + 52] + rest[cuts[1] :])))
+        want.add((k, i))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leakage.leaks(documents, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
+    assert {tuple(x) for x in found.select("item_id", "doc_id").collect()} == want
