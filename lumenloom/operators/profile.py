@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.functions import kernels as K
+from lumenloom.session import cut_lineage
 
 
 def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
@@ -16,7 +17,7 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
 
 def distribution(df: DataFrame, key: str) -> DataFrame:
     """key, n_rows, percent of all rows."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
+    counts = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")))  # a row per key, used twice
     return counts.select(key, "n_rows", (F.col("n_rows") * 100.0 / counts.agg(F.sum("n_rows")).scalar()).alias("percent"))
 
 

@@ -7,26 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A broadcast side of a skew-safe join has at most this many rows, whatever the data.
-HOT_KEYS = 256
+from lumenloom.session import cut_lineage
 
+#: Rows of a key that one task may be given; a key with more is split.
+ROWS_OF_A_KEY = 1 << 20
 
-def join_hot_keys_apart(many: DataFrame, one: DataFrame, keys: Sequence[str], count_col: str, how: str = "inner", hot_keys: int = HOT_KEYS) -> DataFrame:
+
+def join_hot_keys_apart(many: DataFrame, one: DataFrame, keys: Sequence[str], count_col: str, how: str = "inner", rows: int = ROWS_OF_A_KEY) -> DataFrame:
     """Join many to one on keys that are unique in one, without sending all rows of a hot key to one task.
 
-    count_col of one tells how many rows of many have the key. The hot_keys most frequent keys (a bounded number of rows)
-    are joined by broadcast, so their rows stay where they are; the rest is shuffled, where no key can hold more than
-    1 / hot_keys of all rows. A null key never matches; with how="left" rows of many without a partner are kept.
+    count_col of one tells how many rows of many have the key. A key with more than `rows` of them is split by measured size: its row of
+    one is repeated ceil(count / rows) times under salts, and rows of many draw a salt by a hash of themselves. many is read
+    once. What is broadcast are the keys that are split, of which there are at most (rows of many) / rows; one million rows of data make
+    one row of broadcast at most. A null key never matches; with how="left" rows of many without a partner are kept.
     """
     keys = list(keys)
-    hot = one.orderBy(F.col(count_col).desc(), *keys).limit(hot_keys)
-    mark = hot.select(*keys, F.lit(True).alias("_hot"))
+    parts = F.ceil(F.col(count_col) / F.lit(rows)).cast("int")
+    split = one.where(F.col(count_col) > rows).select(*keys, parts.alias("_parts"))
+    others = [c for c in many.columns if c not in keys]
+    own = F.xxhash64(*others) if others else F.monotonically_increasing_id()
+    null_key = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    salted = many.join(F.broadcast(split), keys, "left").withColumn("_salt", F.when(null_key, F.pmod(own, F.lit(4096))).otherwise(F.pmod(own, F.coalesce("_parts", F.lit(1)))).cast("int")).drop("_parts")
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
     value_cols = [c for c in one.columns if c not in keys]
-    packed = hot.select(*keys, F.struct(*value_cols).alias("_hot"))
-    tagged = many.join(F.broadcast(packed), keys, "left")
-    by_broadcast = tagged.where("_hot is not null").select(*many.columns, *[F.col(f"_hot.{c}").alias(c) for c in value_cols])
-    rest = tagged.where("_hot is null").drop("_hot").join(one.join(F.broadcast(mark), keys, "left_anti"), keys, how).select(*many.columns, *value_cols)
-    return by_broadcast.unionByName(rest)
+    return salted.join(spread, [*keys, "_salt"], how).select(*many.columns, *value_cols)
 
 
 def salted_aggregate(df: DataFrame, keys: Sequence[str], partials: dict[str, Column], finals: dict[str, Column], salts: int = 32) -> DataFrame:
@@ -69,8 +73,12 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums:
 def heavy_keys(df: DataFrame, key: str, share: float) -> DataFrame:
     """key, n_rows: the keys that hold more than share of all rows. Null keys count in the total but are not returned.
 
-    One counting pass; the total is the sum of the counts, so the table is read once.
+    One counting pass, whose result (a row per key) is written; the total is the sum of the counts, so the table is read once.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
-    total = counts.agg(F.sum("n_rows")).scalar()
-    return counts.where(F.col(key).isNotNull() & (F.col("n_rows") > F.lit(share) * total))
+    return over_share(cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))), key, "n_rows", share)
+
+
+def over_share(counts: DataFrame, key: str, count_col: str, share: float) -> DataFrame:
+    """The rows of a table of counts, one per key, that hold more than share of the sum; counts is used twice."""
+    total = counts.agg(F.sum(count_col)).scalar()
+    return counts.where(F.col(key).isNotNull() & (F.col(count_col) > F.lit(share) * total))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenloom.functions import kernels as K
-from lumenloom.operators.skew import eager_join_aggregate
+from lumenloom.operators.skew import eager_join_aggregate, over_share
 from lumenloom.plans.catalogue import query
+from lumenloom.session import cut_lineage
 from lumenloom.sources.readers import table
 
 
@@ -25,9 +26,8 @@ def bucket_states(spark: SparkSession, folder: str) -> DataFrame:
 @query("""SELECT resolution_bucket_id FROM (SELECT resolution_bucket_id, count(*) AS n FROM precomputed GROUP BY 1)
 WHERE resolution_bucket_id IS NOT NULL AND n > 0.05 * (SELECT count(*) FROM precomputed)""")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    states = bucket_states(spark, folder)
-    total = states.agg(F.sum("left_rows")).scalar()
-    return states.where(F.col("resolution_bucket_id").isNotNull() & (F.col("left_rows") > 0.05 * total)).select("resolution_bucket_id")
+    # the states are one row per bucket; they are written, so that the total does not read the records again
+    return over_share(cut_lineage(bucket_states(spark, folder)), "resolution_bucket_id", "left_rows", 0.05).select("resolution_bucket_id")
 
 
 @query("""WITH v AS (SELECT resolution_bucket_id, captions, list_filter(list_transform(latents, lambda x: x::DOUBLE), lambda x: isfinite(x)) AS z FROM precomputed)

@@ -167,9 +167,9 @@ def test_skew(spark):
     many = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (None, 1), (3, 3)], "k int, v int")
     one = spark.createDataFrame([(1, 50, "a"), (2, 1, "b"), (None, 1, "n")], "k int, n int, w string")
     for hot in (1, 8):
-        got = skew.join_hot_keys_apart(many, one, ["k"], "n", hot_keys=hot)
+        got = skew.join_hot_keys_apart(many, one, ["k"], "n", rows=hot)
         assert got.count() == 51 and got.where("w = 'a'").count() == 50
-        assert skew.join_hot_keys_apart(many, one, ["k"], "n", how="left", hot_keys=hot).count() == 53
+        assert skew.join_hot_keys_apart(many, one, ["k"], "n", how="left", rows=hot).count() == 53
     right = spark.createDataFrame([(1, 10), (1, 20), (4, 1)], "k int, s int")
     joined = skew.eager_join_aggregate(many, right, "k", {"v_sum": F.sum("v")}, {"s_sum": F.sum("s")}).collect()
     plain = many.join(right, "k").groupBy("k").agg(F.count("*"), F.sum("v"), F.sum("s")).collect()
