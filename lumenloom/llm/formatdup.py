@@ -1,8 +1,8 @@
 """Records that are the same but for formatting: white space, letter case, punctuation, field order (problem 4).
 
 The list column is dictionary-encoded. Each distinct value is brought to its canonical form once: its letters, combining
-marks and digits in lower case, in order. The form gets an integer identifier of 128 bits, two hashes of it, which needs no
-coordination and stays the same when a lost task runs again. Records become sorted tuples of (identifier, identifier), and
+marks and digits in lower case, in order. The form gets an integer identifier of 128 bits, two hashes of it under seeds of their own, which
+needs no coordination and stays the same when a lost task runs again. Records become sorted tuples of (identifier, identifier), and
 the tuples are grouped; the texts themselves are shuffled only once, for the distinct values.
 
 Null and empty captions, and captions without a letter, mark or digit, do not count. Records without any caption left form
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.operators.skew import join_hot_keys_apart
+from lumenloom.session import cut_lineage
 
 
 def canonical(text: Column) -> Column:
@@ -23,7 +24,8 @@ def canonical(text: Column) -> Column:
 
 
 def _pair(value: Column, names: tuple[str, str]) -> list[Column]:
-    return [F.xxhash64(value).alias(names[0]), F.xxhash64(value, F.lit(11)).alias(names[1])]
+    """Two hashes of a value. The seed comes first: hashed after the value it would make the second number a function of the first."""
+    return [F.xxhash64(value).alias(names[0]), F.xxhash64(F.lit(11), value).alias(names[1])]
 
 
 def dictionary(occurrences: DataFrame, value: str) -> DataFrame:
@@ -39,7 +41,7 @@ def encoded_records(df: DataFrame, id_col: str, column: str) -> DataFrame:
     codes = occurrences.select(id_col, *_pair(F.col("value"), ("v1", "v2")))
     known = join_hot_keys_apart(codes, dictionary(occurrences, "value"), ["v1", "v2"], "n")
     tuples = known.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("c1", "c2"))).alias("t"))
-    return tuples.select(id_col, F.xxhash64("t").alias("g1"), F.xxhash64("t", F.lit(13)).alias("g2"))
+    return tuples.select(id_col, *_pair(F.col("t"), ("g1", "g2")))
 
 
 def format_groups(df: DataFrame, id_col: str = "row_id", column: str = "captions") -> DataFrame:
@@ -49,6 +51,6 @@ def format_groups(df: DataFrame, id_col: str = "row_id", column: str = "captions
 
 def format_copies(df: DataFrame, id_col: str = "row_id", column: str = "captions") -> DataFrame:
     """first_<id>, <id>: each record that repeats an earlier one, with the smallest id of its group."""
-    records = encoded_records(df, id_col, column)
+    records = cut_lineage(encoded_records(df, id_col, column))  # three numbers a record, used twice
     groups = records.groupBy("g1", "g2").agg(F.min(id_col).alias(f"first_{id_col}"), F.count(F.lit(1)).alias("n_copies")).where("n_copies > 1")
     return join_hot_keys_apart(records, groups, ["g1", "g2"], "n_copies").where(F.col(id_col) > F.col(f"first_{id_col}")).select(f"first_{id_col}", id_col)

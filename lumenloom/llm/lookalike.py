@@ -159,7 +159,7 @@ def lookalike_pairs(df: DataFrame, id_col: str = "row_id", column: str = "captio
     hashed = (
         with_raw.drop("_raw")
         .mapInArrow(rewrite, f"{id_col} {id_type}, form string, raw string")
-        .select(id_col, F.xxhash64("form").alias("f1"), F.xxhash64("form", F.lit(7)).alias("f2"), F.xxhash64("raw").alias("r"))
+        .select(id_col, F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2"), F.xxhash64("raw").alias("r"))
     )
     hashed = cut_lineage(hashed)
     varied = hashed.groupBy("f1", "f2").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("f1", "f2")
