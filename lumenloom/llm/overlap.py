@@ -1,15 +1,21 @@
 """Exact and near overlaps of evaluation records with training records (problem 7).
 
-Texts. Of n words fewer than one in ten may be changed, so at most k = (n - 1) // 9 edits lead to a near record, and of k + 1 pieces that do not
-overlap one stands in it unchanged, at most k words from its own place in a caption. Each evaluation record is cut into k + 1 pieces
-of equal length, none over two captions; every training record looks up all its runs of up to PIECE words. No near pair is lost, wherever the changes stand.
-What evaluation records ask for is sent as a bitmap of fixed size (a Bloom filter of one hash), so that only runs that can meet a
-piece are shuffled; digests hold the class of length and the place in the caption besides the words. Records travel with the
-bits of their words; more differing bits than twice the allowed changes prove that a pair is none, before anything else
-about it is shuffled. What is left is checked exactly, by word edits of the best caption alignment.
-
-Latent vectors never shift, so they are cut at fixed places, and their values are rounded to bins of most of a spread, once from 0
-and once from half a bin, so that small differences leave some chunk unchanged; candidates are checked by their values.
+Texts. Of n words fewer than one in ten may be changed, so a near record is at most k = (n - 1) // 9 edits away. Normalised records are read
+by a rolling hash over windows of WINDOW words; an edit touches at most WINDOW windows, so of the windows of a record no more than d = WINDOW k are
+missing from a near record. If all windows are ordered in one way, the d + 1 first windows of two near records share one: each has no more than d
+windows that the other lacks. The order is by how many evaluation records have a window, rarest first, so stock phrases come last, and windows that
+no evaluation record has come first and are never sent: what is sent of a training record is little unless it is made of what evaluation
+records hold. No near pair is lost, wherever the changes stand. (Chunks cut at content-defined places and joined by digest lose a pair whose
+changes are scattered, as no chunk stays whole.) A record with no more than d windows, as one of many very short captions, is read by single
+words as well, of which two near records share one in any case. Records travel with bits of their words; more differing
+bits than twice the allowed changes prove that a pair is none. What is left is checked exactly, by word edits of the best alignment of captions.
+
+Latent vectors never shift, so they are cut at fixed places into CHUNKS runs, whose values are rounded to bins of most of a spread, at OFFSETS
+offsets, so that small differences leave some chunk unchanged. Widths of bins follow the record's own spread, in classes that evaluation records try
+on both sides. This search is not exact: of pairs with a gap of a tenth of the spread it misses about one in 600. Candidates are checked by their values.
+
+What evaluation records hold is kept in a table of fixed size: a Bloom filter of 2**MAP bits with two hashes, and 2**COUNTERS counters of one byte, which
+only order windows. When it is full, more is shuffled and no pair is lost.
 
 Copies (the same letters and digits, caption order aside, or the same values) are one class; only one record of a class is searched, and
 its links hold for the members. Nulls: a record without a non-blank caption takes no part, whatever its latents; null captions
@@ -18,7 +24,6 @@ and values that are NaN or infinite match nothing; null ids or splits take no pa
 
 from __future__ import annotations
 
-import itertools
 import math
 from hashlib import blake2b
 
@@ -28,26 +33,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.textform import words
-from lumenloom.operators.skew import join_hot_keys_apart
+from lumenloom.operators.skew import ROWS_OF_A_KEY, join_hot_keys_apart
 from lumenloom.session import cut_lineage
 
-#: Largest share of words that may be changed, added or missing.
-CHANGED = 0.1
-#: Words of the longest piece: n // (k + 1) is never more.
-PIECE = 9
-#: Bits of the bitmap of pieces, as a power of 2. A full one costs shuffles of runs that meet nothing, no pair.
-MAP = 27
-#: Bins of latent values, and the most that same pictures differ by (root mean square), both in spreads.
-BIN, NEAR = 0.75, 0.15
-LATENT_CHUNKS = 5
-#: Of the two times LATENT_CHUNKS chunks of a vector so many must be shared.
-SHARED_LATENT_CHUNKS = 1
+#: Largest share of words that may be changed, added or missing; k = (n - 1) // EDIT_IN edits follow from it.
+CHANGED, EDIT_IN = 0.1, 9
+#: Words of a window.
+WINDOW = 3
+#: Sizes of the table of what evaluation records hold, as powers of 2: bits, and counters of one byte.
+MAP, COUNTERS = 27, 22
+#: Bins of latent values, the ratio of one class of spreads to the next, and the most that same pictures differ by (root mean square), in spreads.
+BIN, SPREADS, NEAR = 0.75, 1.25, 0.15
+CHUNKS, OFFSETS = 6, 3
 #: Columns of the 256 bits that say which words a record has.
 BITS = ("b1", "b2", "b3", "b4")
-#: A table is broadcast only if it has been counted to have at most so many rows (of four numbers).
-SMALL = 300_000
-_STEP = math.log(1 / (1 - CHANGED)) * 1.02
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(PIECE)], dtype=np.uint64)
+_BLOCK = 1 << 13
+_P = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WINDOW)]
+TEXT, VALUES = 0, 1
 
 
 class _Hashes(dict):
@@ -66,378 +68,449 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def size_class(n: int) -> int:
-    """Records of which less than CHANGED of the words differ are at most one class apart."""
-    return math.floor(math.log(n) / _STEP)
-
-
-def _reach(size: int) -> int:
-    """Words of a place; no record of this class may have more edits."""
-    return int(math.exp((size + 1) * _STEP) / PIECE) + 1
-
-
-def _placed(plain: np.ndarray, size: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Digests of runs of words in a class of length and a place of a caption."""
-    return _mix(plain + (size + 7).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + place.astype(np.int64).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
-def pieces(texts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests without and with class and place of k + 1 pieces of a record given by the word hashes of its captions; none if k is 0, as such a near record is a copy."""
-    n = sum(map(len, texts))
-    k = (n - 1) // PIECE
-    if k < 1:
-        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
-    g = n // (k + 1)
-    while sum(len(t) // g for t in texts) < k + 1:
-        g -= 1
-    starts, at, base = [], [], 0
-    for t in texts:
-        c = len(t) // g
-        at += [j * len(t) // c for j in range(c)]
-        starts += [base + j * len(t) // c for j in range(c)]
-        base += len(t)
-    flat = np.array([h for t in texts for h in t], dtype=np.uint64)
-    plain = _mix((flat[np.array(starts[: k + 1])[:, None] + np.arange(g)] * _POWERS[:g]).sum(1, dtype=np.uint64) + np.uint64(g))
-    size = size_class(n)
-    return plain, _placed(plain, np.array([size]), np.array(at[: k + 1]) // _reach(size))
-
-
-def asked_runs(records: list[list[list[int]]], asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of records, digest with class and place) of all runs of up to PIECE words that may be a piece, by the bitmap, each once and in order of rows; and BITS of each record."""
-    lengths = np.array([len(t) for r in records for t in r])
-    sizes = np.array([sum(map(len, r)) for r in records])
-    flat = np.fromiter((h for r in records for t in r for h in t), dtype=np.uint64, count=int(sizes.sum()))
-    n = len(flat)
-    row = np.repeat(np.arange(len(records)), sizes)
-    ends = np.repeat(np.cumsum(lengths), lengths)
-    at = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    classes = np.array([size_class(int(x)) for x in sizes])
-    reach = np.array([_reach(k) for k in range(int(classes.max()) + 2)])
-    total, rows, out = np.zeros(n, dtype=np.uint64), [row[:0]], [np.zeros(0, dtype=np.uint64)]
-    for g in range(1, min(PIECE, n) + 1):
-        total = total[: n - g + 1] + flat[g - 1 :] * _POWERS[g - 1]
-        plain = _mix(total + np.uint64(g))
-        met = np.flatnonzero(_is_asked(plain, asked) & (np.arange(n - g + 1) + g <= ends[: n - g + 1]))
-        for step in (-1, 0, 1):
-            size = np.maximum(classes[row[met]] + step, 0)
-            for shift in (-1, 0, 1):
-                d = _placed(plain[met], size, at[met] // reach[size] + shift)
-                good = _is_asked(d, asked)
-                rows.append(row[met][good])
-                out.append(d[good])
-    of, digests = np.concatenate(rows), np.concatenate(out)
-    order = np.lexsort((digests, of))
-    of, digests = of[order], digests[order]
-    first = np.ones(len(of), dtype=bool)
-    first[1:] = (of[1:] != of[:-1]) | (digests[1:] != digests[:-1])
-    return of[first], digests[first], word_bits(flat, row, len(records))
-
-
-def word_bits(flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """BITS of n records, as record_pieces has them, from the hashes of their words and the record of each word."""
-    order = np.lexsort((flat, row))
-    h, r = flat[order], row[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    at = np.arange(len(h))
-    times = at - np.maximum.accumulate(np.where(new, at, 0)) + 1
-    bit = (h * times.astype(np.uint64) >> np.uint64(7)) & np.uint64(255)
-    out = np.zeros((n, len(BITS)), dtype=np.uint64)
-    np.bitwise_or.at(out, (r, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
-    return out.view(np.int64)
-
-
-def _is_asked(digests: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    x = digests & np.uint64(2**MAP - 1)
-    return (asked[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def asked_map(reps: DataFrame) -> np.ndarray:
-    """The bitmap of the pieces of records in evaluation splits, of 2**MAP bits; no more words of 64 bits reach the driver."""
-    x = reps.where("in_eval").select(F.explode("pieces").alias("c")).select(F.explode(F.array("c.p", "c.d")).alias("x"))
-    bits = x.groupBy(F.expr(f"cast((x & {2**MAP - 1}) >> 6 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(x & 63 as int))")).alias("m")).toArrow()
-    out = np.zeros(2 ** (MAP - 6), dtype=np.uint64)
-    out[bits.column("w").to_numpy()] = bits.column("m").to_numpy().view(np.uint64)
-    return out
+def _ranges(starts: np.ndarray) -> np.ndarray:
+    """Places from 0 within each run, where starts marks the first of each."""
+    at = np.arange(len(starts))
+    return at - np.maximum.accumulate(np.where(starts, at, 0))
 
 
-def record_pieces(df: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
-    """<id>, train, k1, k2 (copies' key), n words, b1 to b4 (bits of the words, each with how often it has been met), pieces (digests) of each record with words."""
-    id_type = df.schema[id_col].dataType.simpleString()
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    out = np.ones(len(columns[0]), dtype=bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
 
-    def chunk(batches):
-        known = _Hashes()
-        for batch in batches:
-            ids, sides, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            out: list[tuple] = []
-            for i, side, captions in zip(ids, sides, lists, strict=True):
-                texts = [w for w in (words(t) for t in captions if t) if w]
-                if not texts:
-                    continue
-                key = blake2b("\x1f".join(sorted("".join(w) for w in texts)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                bits, times = 0, {}
-                hashes = [[known[w] for w in text] for text in texts]
-                for h in itertools.chain.from_iterable(hashes):
-                    times[h] = k = times.get(h, 0) + 1
-                    bits |= 1 << ((h * k >> 7) & 255)
-                n = sum(map(len, hashes))
-                plain, placed = (x.view(np.int64).tolist() for x in pieces(hashes))
-                out.append((i, side, int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True), n, *(_signed((bits >> k) & (2**64 - 1)) for k in (0, 64, 128, 192)), [{"p": p, "d": d} for p, d in zip(plain, placed, strict=True)]))
-            yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=schema)
-
-    names = [id_col, "train", "k1", "k2", "n", *BITS, "pieces"]
-    slim = df.select(id_col, train.alias("train"), column)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, n int, {", ".join(f"{b} long" for b in BITS)}, pieces array<struct<p: long, d: long>>"
-    schema = to_arrow_schema(StructType.fromDDL(ddl))
-    return slim.mapInArrow(chunk, ddl)
-
-
-def record_runs(df: DataFrame, id_col: str, train: Column, column: str, asked: np.ndarray) -> DataFrame:
-    """<id>, train, n, b1 to b4, ds: digests of the runs of words of each record that may be a piece of another."""
-    id_type = df.schema[id_col].dataType.simpleString()
 
-    def look(batches):
+class Texts:
+    """Records given by the word hashes of their captions, as flat arrays. Every record has a word."""
+
+    def __init__(self, records: list[list[list[int]]]):
+        self.n = len(records)
+        self.lengths = np.array([len(t) for r in records for t in r], dtype=np.int64)
+        self.captions = np.array([len(r) for r in records], dtype=np.int64)
+        self.flat = np.fromiter((h for r in records for t in r for h in t), dtype=np.uint64, count=int(self.lengths.sum()))
+        self.sizes = np.bincount(np.repeat(np.arange(self.n), self.captions), weights=self.lengths, minlength=self.n).astype(np.int64)
+        self.row = np.repeat(np.arange(self.n), self.sizes)
+        self.edits = (self.sizes - 1) // EDIT_IN
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(group, hash, quota of the group): the distinct windows of each record that may have a near one; group 2 r + 1 are single words of record r."""
+        left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(len(self.flat))
+        at = np.flatnonzero((left >= WINDOW) & (self.edits[self.row] > 0))
+        total = np.zeros(len(at), dtype=np.uint64)
+        for k, p in enumerate(_P):
+            total += self.flat[at + k] * p
+        windows = np.bincount(self.row[at], minlength=self.n)
+        few = (windows <= WINDOW * self.edits) & (self.edits > 0)
+        single = np.flatnonzero(few[self.row])
+        group = np.concatenate([self.row[at] * 2, self.row[single] * 2 + 1])
+        hashes = np.concatenate([_mix(total + np.uint64(WINDOW)), _mix(self.flat[single] * _P[0] + np.uint64(1))])
+        order = np.lexsort((hashes, group))
+        group, hashes = group[order], hashes[order]
+        new = _changes(group, hashes)
+        quota = np.empty(2 * self.n, dtype=np.int64)
+        quota[0::2], quota[1::2] = WINDOW * self.edits + 1, self.edits + 1
+        return group[new], hashes[new], quota
+
+    def bits(self) -> np.ndarray:
+        """BITS of the records: a bit for each word and how often it has been met."""
+        order = np.lexsort((self.flat, self.row))
+        h, r = self.flat[order], self.row[order]
+        times = _ranges(_changes(h, r)) + 1
+        bit = (h * times.astype(np.uint64) >> np.uint64(7)) & np.uint64(255)
+        out = np.zeros((self.n, len(BITS)), dtype=np.uint64)
+        np.bitwise_or.at(out, (r, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        return out.view(np.int64)
+
+
+class Asked:
+    """The table of what evaluation records hold."""
+
+    def __init__(self, bits: np.ndarray, counters: np.ndarray):
+        self.bits, self.counters = bits, counters
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), dtype=bool)
+        for shift in (0, MAP):
+            x = (hashes >> np.uint64(shift)) & np.uint64(2**MAP - 1)
+            out &= (self.bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return out
+
+    def first(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """(record, window) of the first windows of each record, but for those that no evaluation record has."""
+        group, hashes, quota = texts.grams()
+        order_of = np.where(self.has(hashes), np.maximum(self.counters[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)], 1), 0)
+        order = np.lexsort((hashes, order_of, group))
+        group, hashes, order_of = group[order], hashes[order], order_of[order]
+        kept = (_ranges(_changes(group)) < quota[group]) & (order_of > 0)
+        return group[kept] // 2, hashes[kept]
+
+
+def _read(captions: list[str | None], known: _Hashes) -> tuple[list[list[int]], bytes] | None:
+    """Word hashes of the captions with words and the key of copies; None without a word."""
+    texts = [w for w in (words(t) for t in captions if t) if w]
+    if not texts:
+        return None
+    return [[known[w] for w in x] for x in texts], _key("\x1f".join(sorted("".join(w) for w in texts)).encode("utf-8", "surrogatepass"))
+
+
+def _key(data: bytes) -> bytes:
+    return blake2b(data, digest_size=16).digest()
+
+
+def vectors(values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix) for each length of vector, of rows half of whose values at least are finite."""
+    sizes = np.where(values.is_null(), 0, np.diff(values.offsets.to_numpy()))
+    flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+    starts = np.cumsum(sizes) - sizes
+    out = []
+    for size in np.unique(sizes[sizes > 0]):
+        rows = np.flatnonzero(sizes == size)
+        x = flat[starts[rows][:, None] + np.arange(size)]
+        good = np.isfinite(x).sum(1) * 2 >= size
+        out.append((rows[good], x[good]))
+    return [(rows, x) for rows, x in out if len(rows)]
+
+
+def latent_digests(x: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest): each stands for a class of spread, a place, an offset and the bins of a run of values. Rows of wide try the classes of spread of all near records."""
+    fine = np.isfinite(x)
+    n = fine.sum(1)
+    z = np.where(fine, x, 0).astype(np.float64)
+    mean = z.sum(1) / n
+    spread = np.sqrt((np.where(fine, z - mean[:, None], 0) ** 2).sum(1) / n)
+    scale = np.log(np.where(spread > 0, spread, 1)) / math.log(SPREADS)
+    own = np.floor(scale).astype(np.int64)
+    low, high = (np.floor(scale + math.log(f) / math.log(SPREADS)).astype(np.int64) for f in (1 - NEAR, 1 / (1 - NEAR)))
+    edges = np.unique(np.linspace(0, x.shape[1], CHUNKS + 1).astype(int))
+    whole = np.stack([fine[:, lo:hi].all(1) for lo, hi in zip(edges[:-1], edges[1:], strict=True)], 1)
+    rows, out = [], []
+    steps = int((high - low).max()) if len(x) else 0
+    for step in range(steps + 1):
+        kind = np.where(wide, low + step, own)
+        some = np.flatnonzero((spread > 0) & np.where(wide, kind <= high, step == 0))
+        width = BIN * SPREADS ** (kind[some] + 0.5)
+        scaled = z[some] / width[:, None]
+        for k in range(OFFSETS):
+            bins = np.floor(scaled + k / OFFSETS).astype(np.int64).astype(np.uint64)
+            for j, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                h = _mix(kind[some].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((x.shape[1] << 20) + (lo << 4) + k))
+                for c in range(lo, hi):
+                    h = (h ^ bins[:, c]) * np.uint64(6364136223846793005) + np.uint64(1442695040888963407)
+                    h ^= h >> np.uint64(29)
+                good = whole[some, j]
+                rows.append(some[good])
+                out.append(_mix(h[good]))
+    return (np.concatenate(rows), np.concatenate(out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64))
+
+
+def _value_keys(x: np.ndarray) -> np.ndarray:
+    return np.array([np.frombuffer(_key(r.tobytes()), dtype=np.uint64) for r in x]).reshape(-1, 2)
+
+
+def asked_table(evaluation: DataFrame, column: str, latents: str) -> Asked:
+    """The table of the windows, chunks and keys of all evaluation records; its size is fixed, whatever there is of them."""
+
+    def held(batches):
         known = _Hashes()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                batch = whole.slice(lo, 500)
-                texts = [[[known[w] for w in x] for x in (words(t) for t in captions if t) if x] for captions in batch.column(2).to_pylist()]
-                kept = [k for k, x in enumerate(texts) if x]
-                if not kept:
-                    continue
-                texts = [texts[k] for k in kept]
-                of, digests, bits = asked_runs(texts, asked)
-                offsets = np.searchsorted(of, np.arange(len(kept) + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(digests.view(np.int64)))
-                sizes = pa.array([sum(map(len, x)) for x in texts], pa.int32())
-                some = pa.array(np.diff(offsets) > 0)
-                columns = [batch.column(0).take(pa.array(kept)), batch.column(1).take(pa.array(kept)), sizes, *[pa.array(bits[:, k].copy()) for k in range(len(BITS))], lists]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "train", "n", *BITS, "ds"]).filter(some)
-
-    return df.select(id_col, train.alias("train"), column).mapInArrow(look, f"{id_col} {id_type}, train boolean, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>")
-
-
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
-
-
-def send_if_small(df: DataFrame, rows: int = SMALL) -> DataFrame:
-    """df with a hint to broadcast it if it really has at most so many rows (counted); else as it is, to be shuffled."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def copies(records: DataFrame, id_col: str) -> DataFrame:
-    """<id>, train, rep, in_train, in_eval: the members of classes of two and more records, with the smallest id of the class and its splits."""
-    slim = records.select(id_col, "train", "k1", "k2")
-    classes = slim.groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.count(F.lit(1)).alias("n"))
-    return cut_lineage(join_hot_keys_apart(slim, classes.where("n > 1"), ["k1", "k2"], "n").select(id_col, "train", "rep", "in_train", "in_eval"))
-
-
-def representatives(records: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    """One record of each class, that with the smallest id, with the splits of its class."""
-    known = send_if_small(members.select(id_col, "rep", "in_train", "in_eval"))
-    joined = records.drop("k1", "k2").join(known, id_col, "left").where(F.col("rep").isNull() | (F.col("rep") == F.col(id_col)))
-    return joined.withColumn("in_train", F.coalesce("in_train", "train")).withColumn("in_eval", F.coalesce("in_eval", ~F.col("train"))).drop("rep", "train")
-
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                out = []
+                read = [x for x in (_read(t, known) for t in batch.column(0).to_pylist()) if x]
+                if read:
+                    out.append(Texts([x for x, _ in read]).grams()[1])
+                    out.append(np.array([np.frombuffer(key, dtype=np.uint64)[0] for _, key in read]))
+                for _, x in vectors(batch.column(1)):
+                    out.append(latent_digests(x, np.ones(len(x), dtype=bool))[1])
+                    out.append(_value_keys(x)[:, 0])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["h"])
+
+    h = evaluation.select(column, latents).mapInArrow(held, "h long")
+    place = lambda shift: f"cast(shiftrightunsigned(h, {shift}) & {2**MAP - 1} as int)"
+    bit = lambda shift: f"struct(shiftright({place(shift)}, 6) as w, shiftleft(1L, {place(shift)} & 63) as m, 0L as n)"
+    counter = f"struct({2 ** (MAP - 6)} + cast(shiftrightunsigned(h, {64 - COUNTERS}) as int) as w, 0L as m, 1L as n)"
+    slots = h.select(F.explode(F.expr(f"array({bit(0)}, {bit(MAP)}, {counter})")).alias("s")).groupBy("s.w").agg(F.bit_or("s.m").alias("m"), F.sum("s.n").alias("n"))
+    per = 2 ** (MAP - 6)
+
+    def block(key, pdf):
+        import pandas as pd
+
+        first = key[0] * _BLOCK
+        out = np.zeros(_BLOCK, dtype=np.uint64 if first < per else np.uint8)
+        # counts by their logarithm: they need only be ordered
+        out[pdf["w"].to_numpy() - first] = pdf["m"].to_numpy().view(np.uint64) if first < per else np.minimum(1 + 8 * np.log2(pdf["n"].to_numpy()), 255).astype(np.uint8)
+        return pd.DataFrame({"block": [key[0]], "data": [out.tobytes()]})
+
+    blocks = slots.groupBy(F.expr(f"cast(w div {_BLOCK} as int)").alias("block")).applyInPandas(block, "block int, data binary")
+    bits, counters = np.zeros(per, dtype=np.uint64), np.zeros(2**COUNTERS, dtype=np.uint8)
+    for number, data in zip(*(c.to_pylist() for c in blocks.toArrow().columns), strict=True):  # a table of fixed size
+        at = number * _BLOCK
+        if at < per:
+            bits[at : at + _BLOCK] = np.frombuffer(data, dtype=np.uint64)
+        else:
+            counters[at - per : at - per + _BLOCK] = np.frombuffer(data, dtype=np.uint8)
+    return Asked(bits, counters)
+
+
+def _lists(row: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType = pa.int64()) -> pa.ListArray:
+    """Lists of the values of rows 0 to n - 1; row may be in any order."""
+    order = np.argsort(row, kind="stable")
+    offsets = np.searchsorted(row[order], np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order], kind))
+
+
+def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str) -> DataFrame:
+    """kind (TEXT, VALUES), <id>, train, k1, k2 (copies' key), n words, b1 to b4, ds (windows or chunks to search by), words (with 0 between captions), x (values).
+
+    Training records of which the evaluation records hold neither a window or chunk to search by nor the key are left out.
+    """
+    asked = asked_table(df.where(~train), column, latents)
+    held = df.sparkSession.sparkContext.broadcast((asked.bits, asked.counters))  # of fixed size
+    id_type = df.schema[id_col].dataType.simpleString()
+    names = ["kind", id_col, "train", "k1", "k2", "n", *BITS, "ds", "words", "x"]
+    ddl = f"kind int, {id_col} {id_type}, train boolean, k1 long, k2 long, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>, words array<long>, x array<float>"
 
-def candidate_pairs(df: DataFrame, reps: DataFrame, members: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
-    """a (of a class in train), b (of a class in evaluation splits), from pieces of b that stand in a; within the bounds on length and differing bits.
+    def relevant(batches):
+        asked, known = Asked(*held.value), _Hashes()
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                in_train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                read = [_read(t, known) for t in batch.column(2).to_pylist()]
+                rows = np.array([k for k, x in enumerate(read) if x], dtype=np.int64)
+                if len(rows):
+                    texts = Texts([read[k][0] for k in rows])
+                    row, ds = asked.first(texts)
+                    keys = np.array([np.frombuffer(read[k][1], dtype=np.uint64) for k in rows])
+                    kept = np.flatnonzero(~in_train[rows] | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
+                    if len(kept):
+                        bits = texts.bits()
+                        spelt = [[h for k, t in enumerate(read[rows[r]][0]) for h in (t if not k else [0, *t])] for r in kept]
+                        of = pa.array(rows[kept])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(kept), TEXT, dtype=np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept, 0].view(np.int64)), pa.array(keys[kept, 1].view(np.int64)),
+                                pa.array(texts.sizes[kept].astype(np.int32)), *[pa.array(bits[kept, k].copy()) for k in range(len(BITS))],
+                                _lists(row, ds.view(np.int64), len(rows)).take(pa.array(kept)), pa.array(spelt, pa.list_(pa.int64())), pa.nulls(len(kept), pa.list_(pa.float32())),
+                            ],
+                            names,
+                        )
+                for rows, x in vectors(batch.column(3)):
+                    row, ds = latent_digests(x, ~in_train[rows])
+                    met = asked.has(ds)
+                    row, ds = row[met], ds[met]
+                    keys = _value_keys(x)
+                    kept = np.flatnonzero(~in_train[rows] | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
+                    if len(kept):
+                        of = pa.array(rows[kept])
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(len(kept), VALUES, dtype=np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept, 0].view(np.int64)), pa.array(keys[kept, 1].view(np.int64)),
+                                pa.nulls(len(kept), pa.int32()), *[pa.nulls(len(kept), pa.int64()) for _ in BITS],
+                                _lists(row, ds.view(np.int64), len(rows)).take(pa.array(kept)), pa.nulls(len(kept), pa.list_(pa.int64())), batch.column(3).take(of).cast(pa.list_(pa.float32())),
+                            ],
+                            names,
+                        )
+
+    return df.select(id_col, train.alias("train"), column, latents).mapInArrow(relevant, ddl)
+
+
+def classes(found: DataFrame, id_col: str) -> DataFrame:
+    """k1, k2, rep (the smallest id), in_train, in_eval, size, n, b1 to b4, ds, words, x of one record of each class of copies; one of an evaluation split goes first, as it searches wider."""
+    what = F.struct("n", *BITS, "ds", "words", "x")
+    one = found.groupBy("kind", "k1", "k2").agg(
+        F.min(id_col).alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.count(F.lit(1)).alias("size"), F.min_by(what, F.struct("train", id_col)).alias("p")
+    )
+    return one.select("kind", "k1", "k2", "rep", "in_train", "in_eval", "size", "p.*")
+
+
+def candidate_pairs(reps: DataFrame) -> DataFrame:
+    """kind, a (of a class in train), b (of a class in evaluation splits) that share a window or chunk and are within the bounds on length and differing bits.
 
     A class in both splits stands on both sides; a pair of a class with itself is left out.
     """
-    runs = representatives(record_runs(df, id_col, train, column, asked_map(reps)), members, id_col).where("in_train")
-    a = runs.select(F.col(id_col).alias("a"), F.col("n").alias("na"), *[F.col(c).alias(f"a{c}") for c in BITS], F.explode("ds").alias("d"))
-    b = reps.where("in_eval").select(F.col(id_col).alias("b"), F.col("n").alias("nb"), *[F.col(c).alias(f"e{c}") for c in BITS], F.explode(F.array_distinct("pieces.d")).alias("d"))
+    side = lambda split, name: reps.where(split).select("kind", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{name}{c}") for c in BITS], F.explode("ds").alias("d"))
+    a, b = side("in_train", "a"), side("in_eval", "b")
     most = F.lit(CHANGED) * F.greatest("na", "nb")
-    bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"e{c}"))) for c in BITS)
-    near = (F.abs(F.col("na") - F.col("nb")) <= most) & (bits <= 2 * most)
-    return a.join(b, "d").where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-
-
-def edits(a: list[str], b: list[str], most: int) -> int:
-    """Words to change, add or leave out to make b of a; more than most is returned as most + 1."""
-    while a and b and a[0] == b[0]:
-        a, b = a[1:], b[1:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if abs(len(a) - len(b)) > most:
+    bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in BITS)
+    near = (F.col("kind") == VALUES) | (F.abs(F.col("na") - F.col("nb")) <= most) & (bits <= 2 * most)
+    return a.join(b, ["kind", "d"]).where((F.col("a") != F.col("b")) & near).select("kind", "a", "b").distinct()
+
+
+def edits(a: list, b: list, most: int) -> int:
+    """Words to change, add or leave out to make b of a; more than most is returned as most + 1. Only the band of most about the diagonal is worked out."""
+    lo, top = 0, min(len(a), len(b))
+    while lo < top and a[lo] == b[lo]:
+        lo += 1
+    cut = 0
+    while cut < top - lo and a[-1 - cut] == b[-1 - cut]:
+        cut += 1
+    n, m = len(a) - lo - cut, len(b) - lo - cut
+    if abs(n - m) > most:
         return most + 1
-    if not a or not b:
-        return max(len(a), len(b))
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
-        if min(now) > most:
-            return most + 1
+    if not n or not m:
+        return max(n, m)
+    far = most + 1
+    before = [min(j, far) for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x = a[lo + i - 1]
+        begin, end = max(1, i - most), min(m, i + most)
+        now = [far] * (m + 1)
+        if i <= most:
+            now[0] = i
+        least = now[0]
+        for j in range(begin, end + 1):
+            now[j] = v = min(before[j] + 1, now[j - 1] + 1, before[j - 1] + (x != b[lo + j - 1]), far)
+            least = min(least, v)
+        if least > most:
+            return far
         before = now
-    return min(before[-1], most + 1)
-
-
-def record_edits(a: list[str | None], b: list[str | None]) -> tuple[int, int]:
-    """Word edits between two records, each caption with its best partner whatever the order, and the words of the longer one."""
-    left, right = ([w for w in (words(t) for t in x or [] if t) if w] for x in (a, b))
-    total = max(sum(map(len, left)), sum(map(len, right)))
+    return min(before[m], far)
+
+
+def assignment(cost: list[list[int]]) -> int:
+    """The least sum of a square matrix with one entry from each row and column (shortest augmenting paths)."""
+    n = len(cost)
+    u, v, of = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        of[0], j0 = i, 0
+        least, way, done = [math.inf] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while of[j0]:
+            done[j0] = True
+            i0, step, j1 = of[j0], math.inf, 0
+            for j in range(1, n + 1):
+                if not done[j]:
+                    gap = cost[i0 - 1][j - 1] - u[i0] - v[j]
+                    if gap < least[j]:
+                        least[j], way[j] = gap, j0
+                    if least[j] < step:
+                        step, j1 = least[j], j
+            for j in range(n + 1):
+                if done[j]:
+                    u[of[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            j0 = j1
+        while j0:
+            of[j0] = of[way[j0]]
+            j0 = way[j0]
+    return sum(cost[of[j] - 1][j - 1] for j in range(1, n + 1))
+
+
+def record_edits(a: list[list], b: list[list]) -> tuple[int, int]:
+    """Word edits between two records given by the words of their captions, each caption with a partner, or none, in the best way whatever the order; and the words of the longer record."""
+    total = max(sum(map(len, a)), sum(map(len, b)))
     most = int(CHANGED * total) + 1
-    done = 0
-    options = sorted((edits(x, y, most), i, j) for i, x in enumerate(left) for j, y in enumerate(right))
-    used_left, used_right = set(), set()
-    for cost, i, j in options:
-        if i in used_left or j in used_right or cost >= max(len(left[i]), len(right[j])):
-            continue
-        used_left.add(i)
-        used_right.add(j)
-        done += cost
-    done += sum(len(x) for i, x in enumerate(left) if i not in used_left) + sum(len(y) for j, y in enumerate(right) if j not in used_right)
-    return done, total
-
-
-def _with_values(pairs: DataFrame, df: DataFrame, id_col: str, column: str) -> DataFrame:
-    """The pairs with the column's values of both sides; only rows of some pair are shuffled with their values where that set is small enough to send."""
-    ids = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-    some = df.select(id_col, column).join(send_if_small(ids), id_col, "left_semi")
-    return pairs.join(some.select(F.col(id_col).alias("a"), F.col(column).alias("va")), "a").join(some.select(F.col(id_col).alias("b"), F.col(column).alias("vb")), "b")
-
-
-def near_texts(df: DataFrame, records: DataFrame, members: DataFrame, id_col: str, train: Column, column: str) -> DataFrame:
-    """a, b, shared: pairs of representatives of which less than CHANGED of the words differ, checked word by word."""
-    reps = representatives(records, members, id_col)
-    pairs = cut_lineage(candidate_pairs(df, reps, members, id_col, train, column))
-    id_type = df.schema[id_col].dataType.simpleString()
+    gap = abs(sum(map(len, a)) - sum(map(len, b)))
+    if gap > most:
+        return gap, total
+    if len(a) == len(b) == 1:
+        return edits(a[0], b[0], most), total
+    n = max(len(a), len(b))
+    return assignment([[edits(a[i] if i < len(a) else [], b[j] if j < len(b) else [], most) for j in range(n)] for i in range(n)]), total
+
+
+def _captions(spelt: list[int]) -> list[list[int]]:
+    out: list[list[int]] = [[]]
+    for h in spelt:
+        if h:
+            out[-1].append(h)
+        else:
+            out.append([])
+    return out
 
-    def check(batches):
-        for batch in batches:
-            ok, share = [], []
-            for a, b in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
-                done, total = record_edits(a, b)
-                ok.append(done < CHANGED * total)
-                share.append(1 - done / max(total, 1))
-            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share, pa.float64())], ["a", "b", "shared"]).filter(pa.array(ok, pa.bool_()))
-            yield kept
 
-    return cut_lineage(_with_values(pairs, df, id_col, column).select("a", "b", "va", "vb").mapInArrow(check, f"a {id_type}, b {id_type}, shared double"))
+def _gaps(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether vectors are of the same picture, and 1 less their gap in spreads."""
+    fine = np.isfinite(x) & np.isfinite(y)
+    k = np.maximum(fine.sum(1), 1)
+    u, v = np.where(fine, x, 0).astype(np.float64), np.where(fine, y, 0).astype(np.float64)
+    gap = np.sqrt(((u - v) ** 2).sum(1) / k)
+    own = np.sqrt(np.maximum((u**2).sum(1) / k - (u.sum(1) / k) ** 2, 0))
+    return (fine.sum(1) * 2 >= x.shape[1]) & ((gap <= NEAR * own) | (gap == 0)), 1 - gap / np.where(own > 0, own, 1)
 
 
-def latent_chunks(df: DataFrame, id_col: str, train: Column, column: str, spread: float) -> DataFrame:
-    """<id>, train, k1, k2, ds of each record with finite values; a digest stands for a place, an offset and the bins of a run of values."""
-    id_type = df.schema[id_col].dataType.simpleString()
-    ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, ds array<long>"
-
-    def chunk(batches):
-        for batch in batches:
-            values = batch.column(2)
-            sizes = np.where(values.is_null(), 0, np.diff(values.offsets.to_numpy()))
-            flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            starts = np.cumsum(sizes) - sizes
-            for size in np.unique(sizes[sizes > 0]):
-                rows = np.flatnonzero(sizes == size)
-                x = flat[starts[rows][:, None] + np.arange(size)]
-                keys = np.array([np.frombuffer(blake2b(r.tobytes(), digest_size=16).digest(), dtype=np.int64) for r in x.astype(np.float32)])
-                edges = np.unique(np.linspace(0, size, LATENT_CHUNKS + 1).astype(int))
-                digests, good = [], []
-                for offset in (0.0, 0.5):
-                    scaled = x / (BIN * spread) + offset
-                    fine = np.isfinite(scaled)
-                    bins = np.floor(np.where(fine, scaled, 0)).astype(np.int64)
-                    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                        h = np.full(len(rows), hash((int(size), int(lo), offset)), dtype=np.int64)
-                        for k in range(lo, hi):
-                            h = (h ^ bins[:, k]) * np.int64(6364136223846793005) + np.int64(1442695040888963407)
-                            h ^= h >> np.int64(29)
-                        digests.append(h)
-                        good.append(fine[:, lo:hi].all(1))
-                digest, whole = np.stack(digests, 1), np.stack(good, 1)
-                some = whole.any(1)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole[some].sum(1))]).astype(np.int32)), pa.array(digest[some][whole[some]]))
-                kept = pa.array(rows[some])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(1).take(kept), pa.array(keys[some, 0]), pa.array(keys[some, 1]), lists], [id_col, "train", "k1", "k2", "ds"])
-
-    return df.select(id_col, train.alias("train"), column).mapInArrow(chunk, ddl)
-
-
-def latent_spread(df: DataFrame, column: str, rows: int = 2000) -> float:
-    """Median standard deviation of the values of a record, over at most rows records (a bounded sample, as it only sets the width of bins)."""
-    sample = [np.array(r[0], dtype=np.float64) for r in df.where(F.col(column).isNotNull()).select(column).limit(rows).collect()]
-    spreads = [float(x[np.isfinite(x)].std()) for x in sample if np.isfinite(x).any()]
-    spreads = [s for s in spreads if s > 0]
-    return float(np.median(spreads)) if spreads else 1.0
-
-
-def near_latents(df: DataFrame, id_col: str, train: Column, column: str) -> tuple[DataFrame, DataFrame]:
-    """(a, b, shared) pairs of representatives of the same picture, and the members of classes of copies."""
-    spread = latent_spread(df, column)
-    records = cut_lineage(latent_chunks(df, id_col, train, column, spread))
-    # copies share all chunks, so one record of a class stands for all
-    members = copies(records, id_col)
-    reps = representatives(records, members, id_col)
-    a = reps.where("in_train").select(F.col(id_col).alias("a"), F.explode("ds").alias("d"))
-    b = reps.where("in_eval").select(F.col(id_col).alias("b"), F.explode("ds").alias("d"))
-    shared = a.join(b, "d").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    # chunks are equally long, so their number is the shared length
-    pairs = cut_lineage(shared.where(F.col("k") >= SHARED_LATENT_CHUNKS).select("a", "b"))
-    id_type = df.schema[id_col].dataType.simpleString()
+def near_pairs(reps: DataFrame) -> DataFrame:
+    """kind, a, b, sa, sb (sizes of their classes), shared: pairs of representatives that are near, checked word by word or value by value; shared is the fraction of the longer record that is the same."""
+    pairs = candidate_pairs(reps)
+    side = lambda name: reps.select("kind", F.col("rep").alias(name), F.col("size").alias(f"s{name}"), F.col("words").alias(f"w{name}"), F.col("x").alias(f"x{name}"))
+    both = pairs.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).select("kind", "a", "b", "wa", "wb", "xa", "xb", "sa", "sb")
+    id_type = reps.schema["rep"].dataType.simpleString()
 
     def check(batches):
         for batch in batches:
-            sides = []
-            for name in ("va", "vb"):
-                values = batch.column(name)
-                sides.append((values.flatten().to_numpy(zero_copy_only=False).astype(np.float64), values.offsets.to_numpy()))
-            (x, xo), (y, yo) = sides
-            xo, yo = xo - xo[0] if len(xo) else xo, yo - yo[0] if len(yo) else yo
-            size = np.diff(xo)
-            same = size == np.diff(yo)
             ok, share = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows)
-            for n in np.unique(size[same & (size > 0)]):
-                rows = np.flatnonzero(same & (size == n))
-                u, v = x[xo[rows][:, None] + np.arange(n)], y[yo[rows][:, None] + np.arange(n)]
-                fine = np.isfinite(u) & np.isfinite(v)
-                k = np.maximum(fine.sum(1), 1)
-                u, v = np.where(fine, u, 0), np.where(fine, v, 0)
-                gap = np.sqrt(((u - v) ** 2).sum(1) / k)
-                own = np.sqrt(np.maximum((u**2).sum(1) / k - (u.sum(1) / k) ** 2, 0))
-                ok[rows] = (fine.sum(1) * 2 >= n) & ((gap <= NEAR * own) | (gap == 0))
-                share[rows] = 1 - gap / np.where(own > 0, own, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "shared"]).filter(pa.array(ok))
-
-    checked = _with_values(pairs, df, id_col, column).select("a", "b", "va", "vb").mapInArrow(check, f"a {id_type}, b {id_type}, shared double")
-    return cut_lineage(checked), members
-
-
-def _expand(pairs: DataFrame, members: DataFrame, id_col: str) -> DataFrame:
-    """x (train), y (evaluation): pairs of one class, or of classes whose representatives are linked. a and b of pairs are the representatives."""
-    mixed = members.where("in_train and in_eval")
-    same = mixed.where("train").select("rep", F.col(id_col).alias("x")).join(mixed.where("not train").select("rep", F.col(id_col).alias("y")), "rep").select("x", "y")
-
-    train = members.where("train").select(F.col("rep").alias("a"), F.col(id_col).alias("x"))
-    other = members.where("not train").select(F.col("rep").alias("b"), F.col(id_col).alias("y"))
-    # a is of a class in train and b of one in the other splits, so a representative without such members is such a record itself
-    near = pairs.select("a", "b").join(train, "a", "left").join(other, "b", "left")
-    return same.union(near.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y")))
+            kind = batch.column(0).to_numpy()
+            texts = np.flatnonzero(kind == TEXT)
+            sides = (batch.column(k).take(pa.array(texts)).to_pylist() for k in (3, 4))
+            for row, a, b in zip(texts.tolist(), *sides, strict=True):
+                done, total = record_edits(_captions(a), _captions(b))
+                ok[row], share[row] = done < CHANGED * total, 1 - done / total
+            rows = np.flatnonzero(kind == VALUES)
+            if len(rows):
+                x, y = (batch.column(k).take(pa.array(rows)) for k in (5, 6))
+                sizes, others = (np.diff(v.offsets.to_numpy()) for v in (x, y))
+                xs, ys = (v.flatten().to_numpy(zero_copy_only=False) for v in (x, y))
+                x0, y0 = np.cumsum(sizes) - sizes, np.cumsum(others) - others
+                for size in np.unique(sizes[sizes == others]):
+                    some = np.flatnonzero((sizes == size) & (others == size))
+                    ok[rows[some]], share[rows[some]] = _gaps(xs[x0[some][:, None] + np.arange(size)], ys[y0[some][:, None] + np.arange(size)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 7, 8)), pa.array(share)], ["kind", "a", "b", "sa", "sb", "shared"]).filter(pa.array(ok))
+
+    return both.mapInArrow(check, f"kind int, a {id_type}, b {id_type}, sa long, sb long, shared double")
+
+
+class Overlaps:
+    """What is found of one table: records that can take part, classes of copies, and links between classes. All three are written to the shared folder."""
+
+    def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str):
+        self.id = id_col
+        usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
+        self.records = cut_lineage(records(usable, id_col, F.col(split) == train, column, latents))
+        self.reps = cut_lineage(classes(self.records, id_col))
+        self.links = cut_lineage(near_pairs(self.reps))
+
+    def members(self, wanted: DataFrame) -> DataFrame:
+        """kind, rep, size, <id>, train of the records of wanted classes."""
+        slim = self.records.select("kind", "k1", "k2", self.id, "train")
+        return join_hot_keys_apart(slim, wanted.select("kind", "k1", "k2", "rep", "size"), ["kind", "k1", "k2"], "size").select("kind", "rep", "size", self.id, "train")
+
+    def linked(self) -> DataFrame:
+        """kind, rep of the classes that are linked to another one."""
+        return self.links.select("kind", F.col("a").alias("rep")).union(self.links.select("kind", F.col("b").alias("rep"))).distinct()
+
+    def overlapping(self) -> DataFrame:
+        """<id> of the evaluation records that are in train as well, exactly or nearly; from classes and links, no pair of records is made."""
+        mixed = self.reps.where("in_train and in_eval").select("kind", "rep")
+        hit = mixed.union(self.links.select("kind", F.col("b").alias("rep"))).distinct()
+        return self.members(self.reps.join(hit, ["kind", "rep"], "left_semi")).where("not train").select(self.id).distinct()
+
+
+def _meet(members: DataFrame, other: DataFrame, member: str, rows: int = ROWS_OF_A_KEY) -> DataFrame:
+    """Join on kind and rep of members of classes to rows that name a class; both have its size. Members of a large class are spread over tasks by a hash, and rows of other are repeated in each."""
+    parts = F.ceil(F.col("size") / F.lit(rows)).cast("int")
+    return members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop("size").join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["kind", "rep", "_salt"])
 
 
 def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train") -> DataFrame:
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
-    usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
-    in_train = F.col(split) == train
-    records = cut_lineage(record_pieces(usable, id_col, in_train, column))
-    members = copies(records, id_col)
-    by_text = _expand(near_texts(usable, records, members, id_col, in_train, column), members, id_col)
-    links, members = near_latents(usable, id_col, in_train, latents)
-    by_value = _expand(links, members, id_col)
-    both = by_text.union(by_value).where("x <> y")
-    return both.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
-
-
-def overlap_report(pairs: DataFrame, df: DataFrame, id_col: str = "row_id", split: str = "data_split", source: str = "dataset_id", train: str = "train") -> DataFrame:
+    o = Overlaps(df, id_col, split, column, latents, train)
+    wanted = o.reps.where("in_train and in_eval").select("kind", "rep").union(o.linked()).distinct()
+    members = cut_lineage(o.members(o.reps.join(wanted, ["kind", "rep"], "left_semi")))
+    x = members.where("train").select("kind", "rep", "size", F.col(id_col).alias("x"))
+    y = members.where("not train").select("kind", "rep", "size", F.col(id_col).alias("y"))
+    same = _meet(x, y, "x").select("x", "y")
+    met = _meet(y, o.links.select("kind", F.col("b").alias("rep"), F.col("sb").alias("size"), "a", "sa"), "y")
+    near = _meet(x, met.select("kind", F.col("a").alias("rep"), F.col("sa").alias("size"), "y"), "x").select("x", "y")
+    return same.union(near).where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
+
+
+def overlap_report(df: DataFrame, id_col: str = "row_id", split: str = "data_split", source: str = "dataset_id", column: str = "captions", latents: str = "latents", train: str = "train") -> DataFrame:
     """<split>, <source>, n_rows, n_overlapping, share: per evaluation split and source, how many records stand in training as well."""
+    touched = Overlaps(df, id_col, split, column, latents, train).overlapping()
     evaluation = df.where(F.col(split).isNotNull() & (F.col(split) != train)).select(id_col, split, source)
-    touched = pairs.select(F.col(f"{id_col}_a").alias(id_col)).union(pairs.select(F.col(f"{id_col}_b").alias(id_col))).distinct()
-    totals = evaluation.groupBy(split, source).agg(F.count(F.lit(1)).alias("n_rows"))
-    found = evaluation.join(touched, id_col, "left_semi").groupBy(split, source).agg(F.count(F.lit(1)).alias("n_overlapping"))
-    same = totals[split].eqNullSafe(found[split]) & totals[source].eqNullSafe(found[source])
-    return totals.join(found, same, "left").select(totals[split], totals[source], "n_rows", F.coalesce("n_overlapping", F.lit(0)).alias("n_overlapping"), F.round(F.coalesce("n_overlapping", F.lit(0)) / F.col("n_rows"), 6).alias("share"))
+    marked = evaluation.join(touched.withColumn("_hit", F.lit(1)), id_col, "left")
+    n, k = F.count(F.lit(1)), F.coalesce(F.sum("_hit"), F.lit(0))
+    return marked.groupBy(split, source).agg(n.alias("n_rows"), k.alias("n_overlapping"), F.round(k / n, 6).alias("share"))

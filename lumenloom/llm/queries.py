@@ -74,8 +74,7 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "precomputed")
-    return overlap.overlap_report(overlap.cross_split_pairs(rows), rows)
+    return overlap.overlap_report(table(spark, folder, "precomputed"))
 
 
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:

@@ -87,7 +87,7 @@ def test_overlap(records):
     pairs = {tuple(r) for r in overlap.cross_split_pairs(records).collect()}
     assert pairs == {(1, 2), (6, 7)}
     assert overlap.cross_split_pairs(records.limit(0)).count() == 0
-    report = {(r[0], r[1]): r["n_overlapping"] for r in overlap.overlap_report(overlap.cross_split_pairs(records), records).collect()}
+    report = {(r[0], r[1]): r["n_overlapping"] for r in overlap.overlap_report(records).collect()}
     assert report == {("eval", 0): 2, ("test", 1): 1}
 
 

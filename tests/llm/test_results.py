@@ -172,7 +172,7 @@ def test_overlaps_against_brute_force(spark):
     for a, b in itertools.combinations(rows, 2):
         if (a[1] == "train") == (b[1] == "train"):
             continue
-        done, total = overlap.record_edits(a[2], b[2])
+        done, total = overlap.record_edits(*([words(t) for t in x[2]] for x in (a, b)))
         if done < 0.1 * total or np.sqrt(((np.array(a[3]) - np.array(b[3])) ** 2).mean()) < 0.15 * np.std(a[3]):
             want.add((min(a[0], b[0]), max(a[0], b[0])))
     got = {tuple(x) for x in overlap.cross_split_pairs(df).collect()}
