@@ -1,30 +1,30 @@
 """Exact and near overlaps of evaluation records with training records (problem 7).
 
-Texts. Of n words fewer than one in ten may be changed, so a near record is at most k = (n - 1) // 9 edits away. Normalised records are read
-by a rolling hash over windows of WINDOW words; an edit touches at most WINDOW windows, so of the windows of a record no more than d = WINDOW k are
-missing from a near record. If all windows are ordered in one way, the d + 1 first windows of two near records share one: each has no more than d
-windows that the other lacks. The order is by how many evaluation records have a window, rarest first, so stock phrases come last, and windows that
-no evaluation record has come first and are never sent: what is sent of a training record is little unless it is made of what evaluation
-records hold. No near pair is lost, wherever the changes stand. (Chunks cut at content-defined places and joined by digest lose a pair whose
-changes are scattered, as no chunk stays whole.) A record with no more than d windows, as one of many very short captions, is read by single
-words as well, of which two near records share one in any case. Records travel with bits of their words; more differing
-bits than twice the allowed changes prove that a pair is none. What is left is checked exactly, by word edits of the best alignment of captions.
+Texts. Of n words fewer than one in ten may be changed, so a near record is at most k = (n - 1) // 9 edits away. The words of a record, a repeated one
+told by its number, are a set of which an edit takes away no more than one. If all words are ordered in one way, the k + 1 first of two near
+records share one, as each has at most k that the other lacks. The order is by how many evaluation records have a word, rarest first, and words
+that no evaluation record has come first and are never sent. No near pair is lost, wherever the changes stand. (Chunks cut at content-defined
+places and joined by digest lose pairs whose changes are scattered, as no chunk stays whole.) What is sent are a word, with a class of length that
+near records share, the record's key, its length and 256 bits: each word turns one of them over, so more differing bits than twice the allowed
+edits prove that a pair is none. What is left is checked exactly, by word edits of the best alignment of captions.
 
 Latent vectors never shift, so they are cut at fixed places into CHUNKS runs, whose values are rounded to bins of most of a spread, at OFFSETS
 offsets, so that small differences leave some chunk unchanged. Widths of bins follow the record's own spread, in classes that evaluation records try
 on both sides. This search is not exact: of pairs with a gap of a tenth of the spread it misses about one in 600. Candidates are checked by their values.
 
-What evaluation records hold is kept in a table of fixed size: a Bloom filter of 2**MAP bits with two hashes, and 2**COUNTERS counters of one byte, which
-only order windows. When it is full, more is shuffled and no pair is lost.
+What evaluation records hold is kept in a table of fixed size: a filter of 2**MAP bits, and 2**COUNTERS counters of one byte, which only order words. When it is full,
+more is shuffled and no pair is lost.
 
-Copies (the same letters and digits, caption order aside, or the same values) are one class; only one record of a class is searched, and
-its links hold for the members. Nulls: a record without a non-blank caption takes no part, whatever its latents; null captions
+Copies (the same letters and digits, caption order aside, or the same values) are one class, named by two hashes; a class is searched and checked
+once, and its links hold for the members. Nulls: a record without a non-blank caption takes no part, whatever its latents; null captions
 and values that are NaN or infinite match nothing; null ids or splits take no part. Empty tables give no pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
@@ -34,21 +34,21 @@ from pyspark.sql import functions as F
 
 from lumenloom.llm.textform import words
 from lumenloom.operators.skew import ROWS_OF_A_KEY, join_hot_keys_apart
-from lumenloom.session import cut_lineage
+from lumenloom.session import written
 
 #: Largest share of words that may be changed, added or missing; k = (n - 1) // EDIT_IN edits follow from it.
 CHANGED, EDIT_IN = 0.1, 9
-#: Words of a window.
-WINDOW = 3
+#: Ratio of one class of length to the next: the lengths that a near record may have lie in two classes at most.
+LENGTHS = 1.25
 #: Sizes of the table of what evaluation records hold, as powers of 2: bits, and counters of one byte.
 MAP, COUNTERS = 27, 22
 #: Bins of latent values, the ratio of one class of spreads to the next, and the most that same pictures differ by (root mean square), in spreads.
-BIN, SPREADS, NEAR = 0.75, 1.25, 0.15
+BIN, SPREADS, NEAR = 0.75, 1.5, 0.15
 CHUNKS, OFFSETS = 6, 3
 #: Columns of the 256 bits that say which words a record has.
 BITS = ("b1", "b2", "b3", "b4")
 _BLOCK = 1 << 13
-_P = [np.uint64(pow(0x9E3779B97F4A7C15, k + 1, 2**64)) for k in range(WINDOW)]
+_P = np.uint64(0x9E3779B97F4A7C15)
 TEXT, VALUES = 0, 1
 
 
@@ -91,36 +91,24 @@ class Texts:
         self.sizes = np.bincount(np.repeat(np.arange(self.n), self.captions), weights=self.lengths, minlength=self.n).astype(np.int64)
         self.row = np.repeat(np.arange(self.n), self.sizes)
         self.edits = (self.sizes - 1) // EDIT_IN
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(group, hash, quota of the group): the distinct windows of each record that may have a near one; group 2 r + 1 are single words of record r."""
-        left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(len(self.flat))
-        at = np.flatnonzero((left >= WINDOW) & (self.edits[self.row] > 0))
-        total = np.zeros(len(at), dtype=np.uint64)
-        for k, p in enumerate(_P):
-            total += self.flat[at + k] * p
-        windows = np.bincount(self.row[at], minlength=self.n)
-        few = (windows <= WINDOW * self.edits) & (self.edits > 0)
-        single = np.flatnonzero(few[self.row])
-        group = np.concatenate([self.row[at] * 2, self.row[single] * 2 + 1])
-        hashes = np.concatenate([_mix(total + np.uint64(WINDOW)), _mix(self.flat[single] * _P[0] + np.uint64(1))])
-        order = np.lexsort((hashes, group))
-        group, hashes = group[order], hashes[order]
-        new = _changes(group, hashes)
-        quota = np.empty(2 * self.n, dtype=np.int64)
-        quota[0::2], quota[1::2] = WINDOW * self.edits + 1, self.edits + 1
-        return group[new], hashes[new], quota
+        # words, each with how often it has been met in its record, in the order of records and hashes
+        order = np.lexsort((self.flat, self.row))
+        h, self.of = self.flat[order], self.row[order]
+        times = _ranges(_changes(h, self.of)).astype(np.uint64)
+        self.words = _mix(h * _P + times * np.uint64(0xD6E8FEB86659FD93))
 
     def bits(self) -> np.ndarray:
-        """BITS of the records: a bit for each word and how often it has been met."""
-        order = np.lexsort((self.flat, self.row))
-        h, r = self.flat[order], self.row[order]
-        times = _ranges(_changes(h, r)) + 1
-        bit = (h * times.astype(np.uint64) >> np.uint64(7)) & np.uint64(255)
+        """BITS of the records: each word turns one over."""
+        bit = self.words & np.uint64(255)
         out = np.zeros((self.n, len(BITS)), dtype=np.uint64)
-        np.bitwise_or.at(out, (r, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+        np.bitwise_xor.at(out, (self.of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
         return out.view(np.int64)
 
+    def classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The class of length of each record, and the first and the last one of near records."""
+        log = lambda n: np.floor(np.log(n) / math.log(LENGTHS) + 1e-9).astype(np.int64)
+        return log(self.sizes), log(self.sizes - self.edits), log(self.sizes + self.edits)
+
 
 class Asked:
     """The table of what evaluation records hold."""
@@ -129,20 +117,26 @@ class Asked:
         self.bits, self.counters = bits, counters
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.ones(len(hashes), dtype=bool)
-        for shift in (0, MAP):
-            x = (hashes >> np.uint64(shift)) & np.uint64(2**MAP - 1)
-            out &= (self.bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return out
-
-    def first(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """(record, window) of the first windows of each record, but for those that no evaluation record has."""
-        group, hashes, quota = texts.grams()
-        order_of = np.where(self.has(hashes), np.maximum(self.counters[(hashes >> np.uint64(64 - COUNTERS)).astype(np.int64)], 1), 0)
-        order = np.lexsort((hashes, order_of, group))
-        group, hashes, order_of = group[order], hashes[order], order_of[order]
-        kept = (_ranges(_changes(group)) < quota[group]) & (order_of > 0)
-        return group[kept] // 2, hashes[kept]
+        x = hashes & np.uint64(2**MAP - 1)
+        return (self.bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def first(self, texts: Texts, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(record, digest) of the first words of each record, but for those that no evaluation record has; under its own class of length, for records of wide under those of near records."""
+        some = np.flatnonzero(texts.edits[texts.of] > 0)
+        of, h = texts.of[some], texts.words[some]
+        met = self.counters[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]
+        order = np.lexsort((h, met, of))
+        of, h, met = of[order], h[order], met[order]
+        kept = (_ranges(_changes(of)) <= texts.edits[of]) & (met > 0)
+        of, h = of[kept], h[kept]
+        own, low, high = texts.classes()
+        rows, out = [], []
+        for step in range(3):
+            kind = np.where(wide, low + step, own)[of]
+            good = np.where(wide[of], kind <= high[of], step == 0)
+            rows.append(of[good])
+            out.append(_mix(h[good] + kind[good].astype(np.uint64)))
+        return np.concatenate(rows), np.concatenate(out)
 
 
 def _read(captions: list[str | None], known: _Hashes) -> tuple[list[list[int]], bytes] | None:
@@ -157,6 +151,13 @@ def _key(data: bytes) -> bytes:
     return blake2b(data, digest_size=16).digest()
 
 
+def _keys(found: list[bytes], kind: int) -> np.ndarray:
+    """Two numbers of each key; the lowest bit of the first tells its kind."""
+    out = np.frombuffer(b"".join(found), dtype=np.uint64).reshape(-1, 2).copy()
+    out[:, 0] = out[:, 0] & ~np.uint64(1) | np.uint64(kind)
+    return out
+
+
 def vectors(values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) for each length of vector, of rows half of whose values at least are finite."""
     sizes = np.where(values.is_null(), 0, np.diff(values.offsets.to_numpy()))
@@ -204,33 +205,33 @@ def latent_digests(x: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _value_keys(x: np.ndarray) -> np.ndarray:
-    return np.array([np.frombuffer(_key(r.tobytes()), dtype=np.uint64) for r in x]).reshape(-1, 2)
+    return _keys([_key(r.tobytes()) for r in x], VALUES)
 
 
 def asked_table(evaluation: DataFrame, column: str, latents: str) -> Asked:
-    """The table of the windows, chunks and keys of all evaluation records; its size is fixed, whatever there is of them."""
+    """The table of the words, chunks and keys of all evaluation records; its size is fixed, whatever there is of them."""
 
     def held(batches):
         known = _Hashes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                out = []
-                read = [x for x in (_read(t, known) for t in batch.column(0).to_pylist()) if x]
-                if read:
-                    out.append(Texts([x for x, _ in read]).grams()[1])
-                    out.append(np.array([np.frombuffer(key, dtype=np.uint64)[0] for _, key in read]))
-                for _, x in vectors(batch.column(1)):
-                    out.append(latent_digests(x, np.ones(len(x), dtype=bool))[1])
-                    out.append(_value_keys(x)[:, 0])
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], ["h"])
-
-    h = evaluation.select(column, latents).mapInArrow(held, "h long")
-    place = lambda shift: f"cast(shiftrightunsigned(h, {shift}) & {2**MAP - 1} as int)"
-    bit = lambda shift: f"struct(shiftright({place(shift)}, 6) as w, shiftleft(1L, {place(shift)} & 63) as m, 0L as n)"
-    counter = f"struct({2 ** (MAP - 6)} + cast(shiftrightunsigned(h, {64 - COUNTERS}) as int) as w, 0L as m, 1L as n)"
-    slots = h.select(F.explode(F.expr(f"array({bit(0)}, {bit(MAP)}, {counter})")).alias("s")).groupBy("s.w").agg(F.bit_or("s.m").alias("m"), F.sum("s.n").alias("n"))
+        for batch in batches:
+            set_bits, counts = [], []
+            read = [x for x in (_read(t, known) for t in batch.column(0).to_pylist()) if x]
+            if read:
+                counts.append(Texts([x for x, _ in read]).words)
+                set_bits.append(_keys([key for _, key in read], TEXT)[:, 0])
+            for _, x in vectors(batch.column(1)):
+                set_bits.append(latent_digests(x, np.ones(len(x), dtype=bool))[1])
+                set_bits.append(_value_keys(x)[:, 0])
+            for bits in (np.unique(np.concatenate(set_bits) & np.uint64(2**MAP - 1)) if set_bits else None,):
+                if bits is not None:
+                    place, first = np.unique((bits >> np.uint64(6)).astype(np.int32), return_index=True)
+                    m = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), first)
+                    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(m.view(np.int64)), pa.array(np.zeros(len(m), dtype=np.int64))], ["w", "m", "n"])
+            if counts:
+                place, n = np.unique((counts[0] >> np.uint64(64 - COUNTERS)).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(place + np.int32(2 ** (MAP - 6))), pa.array(np.zeros(len(n), dtype=np.int64)), pa.array(n.astype(np.int64))], ["w", "m", "n"])
+
+    slots = evaluation.select(column, latents).mapInArrow(held, "w int, m long, n long").groupBy("w").agg(F.bit_or("m").alias("m"), F.sum("n").alias("n"))
     per = 2 ** (MAP - 6)
 
     def block(key, pdf):
@@ -261,81 +262,71 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType = pa.i
 
 
 def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str) -> DataFrame:
-    """kind (TEXT, VALUES), <id>, train, k1, k2 (copies' key), n words, b1 to b4, ds (windows or chunks to search by), words (with 0 between captions), x (values).
+    """<id>, train, k1, k2 (copies' key), n words, b1 to b4, ds (words or chunks to search by), words (with 0 between captions) or x (values) of each record, once for its text and once for its values.
 
-    Training records of which the evaluation records hold neither a window or chunk to search by nor the key are left out.
+    Training records of which the evaluation records hold neither a word or chunk to search by nor the key are left out.
     """
     asked = asked_table(df.where(~train), column, latents)
     held = df.sparkSession.sparkContext.broadcast((asked.bits, asked.counters))  # of fixed size
     id_type = df.schema[id_col].dataType.simpleString()
-    names = ["kind", id_col, "train", "k1", "k2", "n", *BITS, "ds", "words", "x"]
-    ddl = f"kind int, {id_col} {id_type}, train boolean, k1 long, k2 long, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>, words array<long>, x array<float>"
+    names = [id_col, "train", "k1", "k2", "n", *BITS, "ds", "words", "x"]
+    ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>, words array<int>, x array<float>"
 
     def relevant(batches):
         asked, known = Asked(*held.value), _Hashes()
+
+        def rows_of(batch, rows, keys, row, ds, n, bits, words, x):
+            """The kept rows of a batch, of which rows gives the place in it of each record."""
+            evaluation = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[rows]
+            kept = np.flatnonzero(evaluation | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
+            of, some = pa.array(rows[kept]), pa.array(kept)
+            columns = [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(keys[kept, k].view(np.int64)) for k in (0, 1)), pa.array(n[kept].astype(np.int32)), *(pa.array(bits[kept, k].copy()) for k in range(len(BITS)))]
+            return pa.RecordBatch.from_arrays([*columns, _lists(row, ds.view(np.int64), len(rows)).take(some), words.take(some), x.take(some)], names)
+
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
-                in_train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                wide = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
                 read = [_read(t, known) for t in batch.column(2).to_pylist()]
                 rows = np.array([k for k, x in enumerate(read) if x], dtype=np.int64)
                 if len(rows):
                     texts = Texts([read[k][0] for k in rows])
-                    row, ds = asked.first(texts)
-                    keys = np.array([np.frombuffer(read[k][1], dtype=np.uint64) for k in rows])
-                    kept = np.flatnonzero(~in_train[rows] | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
-                    if len(kept):
-                        bits = texts.bits()
-                        spelt = [[h for k, t in enumerate(read[rows[r]][0]) for h in (t if not k else [0, *t])] for r in kept]
-                        of = pa.array(rows[kept])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(kept), TEXT, dtype=np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept, 0].view(np.int64)), pa.array(keys[kept, 1].view(np.int64)),
-                                pa.array(texts.sizes[kept].astype(np.int32)), *[pa.array(bits[kept, k].copy()) for k in range(len(BITS))],
-                                _lists(row, ds.view(np.int64), len(rows)).take(pa.array(kept)), pa.array(spelt, pa.list_(pa.int64())), pa.nulls(len(kept), pa.list_(pa.float32())),
-                            ],
-                            names,
-                        )
+                    row, ds = asked.first(texts, wide[rows])
+                    spelt = pa.array([_spelt(read[k][0]) for k in rows], pa.list_(pa.int32()))
+                    yield rows_of(batch, rows, _keys([read[k][1] for k in rows], TEXT), row, ds, texts.sizes, texts.bits(), spelt, pa.nulls(len(rows), pa.list_(pa.float32())))
                 for rows, x in vectors(batch.column(3)):
-                    row, ds = latent_digests(x, ~in_train[rows])
+                    row, ds = latent_digests(x, wide[rows])
                     met = asked.has(ds)
-                    row, ds = row[met], ds[met]
-                    keys = _value_keys(x)
-                    kept = np.flatnonzero(~in_train[rows] | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
-                    if len(kept):
-                        of = pa.array(rows[kept])
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array(np.full(len(kept), VALUES, dtype=np.int32)), batch.column(0).take(of), batch.column(1).take(of), pa.array(keys[kept, 0].view(np.int64)), pa.array(keys[kept, 1].view(np.int64)),
-                                pa.nulls(len(kept), pa.int32()), *[pa.nulls(len(kept), pa.int64()) for _ in BITS],
-                                _lists(row, ds.view(np.int64), len(rows)).take(pa.array(kept)), pa.nulls(len(kept), pa.list_(pa.int64())), batch.column(3).take(of).cast(pa.list_(pa.float32())),
-                            ],
-                            names,
-                        )
+                    values = batch.column(3).take(pa.array(rows)).cast(pa.list_(pa.float32()))
+                    yield rows_of(batch, rows, _value_keys(x), row[met], ds[met], np.zeros(len(rows)), np.zeros((len(rows), len(BITS)), dtype=np.int64), pa.nulls(len(rows), pa.list_(pa.int32())), values)
 
     return df.select(id_col, train.alias("train"), column, latents).mapInArrow(relevant, ddl)
 
 
 def classes(found: DataFrame, id_col: str) -> DataFrame:
-    """k1, k2, rep (the smallest id), in_train, in_eval, size, n, b1 to b4, ds, words, x of one record of each class of copies; one of an evaluation split goes first, as it searches wider."""
-    what = F.struct("n", *BITS, "ds", "words", "x")
-    one = found.groupBy("kind", "k1", "k2").agg(
-        F.min(id_col).alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"), F.count(F.lit(1)).alias("size"), F.min_by(what, F.struct("train", id_col)).alias("p")
+    """k1, k2, n_train, n_eval, train_id, eval_id: each class of copies with its members on each side and the smallest id of either."""
+    inside = F.col("train")
+    return found.groupBy("k1", "k2").agg(
+        F.count_if(inside).alias("n_train"), F.count_if(~inside).alias("n_eval"), F.min(F.when(inside, F.col(id_col))).alias("train_id"), F.min(F.when(~inside, F.col(id_col))).alias("eval_id")
     )
-    return one.select("kind", "k1", "k2", "rep", "in_train", "in_eval", "size", "p.*")
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """kind, a (of a class in train), b (of a class in evaluation splits) that share a window or chunk and are within the bounds on length and differing bits.
+def candidate_pairs(found: DataFrame) -> DataFrame:
+    """ka, kb: the first keys of a class in train and one in evaluation splits that share a word or chunk and are within the bounds on length and differing bits.
 
-    A class in both splits stands on both sides; a pair of a class with itself is left out.
+    A class in both splits stands on both sides; a pair of a class with itself is left out. Copies are put together as they are sent.
     """
-    side = lambda split, name: reps.where(split).select("kind", F.col("rep").alias(name), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{name}{c}") for c in BITS], F.explode("ds").alias("d"))
-    a, b = side("in_train", "a"), side("in_eval", "b")
-    most = F.lit(CHANGED) * F.greatest("na", "nb")
+    side = lambda split, name: (
+        found.where(split).select(F.col("k1").alias(f"k{name}"), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{name}{c}") for c in BITS], F.explode("ds").alias("d"))
+        .groupBy("d", f"k{name}").agg(*[F.first(c).alias(c) for c in (f"n{name}", *(f"{name}{c}" for c in BITS))])
+    )
+    a, b = side(F.col("train"), "a"), side(~F.col("train"), "b")
+    longer = F.greatest("na", "nb")
+    # less than one in ten of the longer one, in whole words
+    most = F.expr("greatest(0, (greatest(na, nb) + 9) div 10 - 1)")
     bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in BITS)
-    near = (F.col("kind") == VALUES) | (F.abs(F.col("na") - F.col("nb")) <= most) & (bits <= 2 * most)
-    return a.join(b, ["kind", "d"]).where((F.col("a") != F.col("b")) & near).select("kind", "a", "b").distinct()
+    near = (longer - F.least("na", "nb") <= most) & (bits <= 2 * most)
+    return a.join(b, "d").where((F.col("ka") != F.col("kb")) & near).select("ka", "kb").distinct()
 
 
 def edits(a: list, b: list, most: int) -> int:
@@ -400,18 +391,33 @@ def assignment(cost: list[list[int]]) -> int:
 
 
 def record_edits(a: list[list], b: list[list]) -> tuple[int, int]:
-    """Word edits between two records given by the words of their captions, each caption with a partner, or none, in the best way whatever the order; and the words of the longer record."""
+    """Word edits between two records given by the words of their captions, each caption with a partner, or none, in the best way whatever the order; and the words of the longer record.
+
+    What is certainly too much is returned as soon as that is clear: edits are no fewer than the words that one record has and the other lacks.
+    """
     total = max(sum(map(len, a)), sum(map(len, b)))
     most = int(CHANGED * total) + 1
-    gap = abs(sum(map(len, a)) - sum(map(len, b)))
-    if gap > most:
-        return gap, total
+    left = Counter(itertools.chain.from_iterable(a))
+    left.subtract(itertools.chain.from_iterable(b))
+    least = max(sum(n for n in left.values() if n > 0), -sum(n for n in left.values() if n < 0))
+    if least > most:
+        return least, total
     if len(a) == len(b) == 1:
         return edits(a[0], b[0], most), total
     n = max(len(a), len(b))
     return assignment([[edits(a[i] if i < len(a) else [], b[j] if j < len(b) else [], most) for j in range(n)] for i in range(n)]), total
 
 
+def _spelt(captions: list[list[int]]) -> list[int]:
+    """Words as 31 bits of their hashes, with 0 between captions."""
+    out: list[int] = []
+    for k, t in enumerate(captions):
+        if k:
+            out.append(0)
+        out += [h & 0x7FFFFFFF or 1 for h in t]
+    return out
+
+
 def _captions(spelt: list[int]) -> list[list[int]]:
     out: list[list[int]] = [[]]
     for h in spelt:
@@ -432,34 +438,37 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (fine.sum(1) * 2 >= x.shape[1]) & ((gap <= NEAR * own) | (gap == 0)), 1 - gap / np.where(own > 0, own, 1)
 
 
-def near_pairs(reps: DataFrame) -> DataFrame:
-    """kind, a, b, sa, sb (sizes of their classes), shared: pairs of representatives that are near, checked word by word or value by value; shared is the fraction of the longer record that is the same."""
-    pairs = candidate_pairs(reps)
-    side = lambda name: reps.select("kind", F.col("rep").alias(name), F.col("size").alias(f"s{name}"), F.col("words").alias(f"w{name}"), F.col("x").alias(f"x{name}"))
-    both = pairs.join(side("a"), ["kind", "a"]).join(side("b"), ["kind", "b"]).select("kind", "a", "b", "wa", "wb", "xa", "xb", "sa", "sb")
-    id_type = reps.schema["rep"].dataType.simpleString()
+def near_pairs(found: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
+    """ka1, ka2, kb1, kb2, na, nb (members of the classes on their sides), shared: pairs of classes that are near, checked word by word or value by value; shared is the fraction of the longer record that is the same."""
+    side = lambda name, split: groups.where(f"n_{split} > 0").select(F.col("k1").alias(f"k{name}"), F.col("k2").alias(f"k{name}2"), F.col(f"n_{split}").alias(f"n{name}"), F.col(f"{split}_id").alias(f"i{name}"))
+    pairs = candidate_pairs(found).join(side("a", "train"), "ka").join(side("b", "eval"), "kb")
+    # a record has a text and values under one id, told apart by the key
+    what = lambda name, split: found.where(split).select(F.col(id_col).alias(f"i{name}"), F.col("k1").alias(f"k{name}"), F.col("words").alias(f"w{name}"), F.col("x").alias(f"x{name}"))
+    both = pairs.join(what("b", ~F.col("train")), ["ib", "kb"]).join(what("a", F.col("train")), ["ia", "ka"])
+    keys = ["ka", "ka2", "kb", "kb2", "na", "nb"]
 
     def check(batches):
         for batch in batches:
             ok, share = np.zeros(batch.num_rows, dtype=bool), np.zeros(batch.num_rows)
-            kind = batch.column(0).to_numpy()
+            kind = batch.column(0).to_numpy() & 1
             texts = np.flatnonzero(kind == TEXT)
-            sides = (batch.column(k).take(pa.array(texts)).to_pylist() for k in (3, 4))
+            sides = (batch.column(k).take(pa.array(texts)).to_pylist() for k in (6, 7))
             for row, a, b in zip(texts.tolist(), *sides, strict=True):
                 done, total = record_edits(_captions(a), _captions(b))
                 ok[row], share[row] = done < CHANGED * total, 1 - done / total
             rows = np.flatnonzero(kind == VALUES)
             if len(rows):
-                x, y = (batch.column(k).take(pa.array(rows)) for k in (5, 6))
+                x, y = (batch.column(k).take(pa.array(rows)) for k in (8, 9))
                 sizes, others = (np.diff(v.offsets.to_numpy()) for v in (x, y))
                 xs, ys = (v.flatten().to_numpy(zero_copy_only=False) for v in (x, y))
                 x0, y0 = np.cumsum(sizes) - sizes, np.cumsum(others) - others
                 for size in np.unique(sizes[sizes == others]):
                     some = np.flatnonzero((sizes == size) & (others == size))
                     ok[rows[some]], share[rows[some]] = _gaps(xs[x0[some][:, None] + np.arange(size)], ys[y0[some][:, None] + np.arange(size)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 2, 7, 8)), pa.array(share)], ["kind", "a", "b", "sa", "sb", "shared"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), pa.array(share)], names).filter(pa.array(ok))
 
-    return both.mapInArrow(check, f"kind int, a {id_type}, b {id_type}, sa long, sb long, shared double")
+    names = ["ka1", "ka2", "kb1", "kb2", "na", "nb", "shared"]
+    return both.select(*keys, "wa", "wb", "xa", "xb").mapInArrow(check, "ka1 long, ka2 long, kb1 long, kb2 long, na long, nb long, shared double")
 
 
 class Overlaps:
@@ -468,43 +477,42 @@ class Overlaps:
     def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str):
         self.id = id_col
         usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
-        self.records = cut_lineage(records(usable, id_col, F.col(split) == train, column, latents))
-        self.reps = cut_lineage(classes(self.records, id_col))
-        self.links = cut_lineage(near_pairs(self.reps))
+        self.records = written(records(usable, id_col, F.col(split) == train, column, latents))
+        self.groups = written(classes(self.records, id_col))
+        self.links = written(near_pairs(self.records, self.groups, id_col))
 
-    def members(self, wanted: DataFrame) -> DataFrame:
-        """kind, rep, size, <id>, train of the records of wanted classes."""
-        slim = self.records.select("kind", "k1", "k2", self.id, "train")
-        return join_hot_keys_apart(slim, wanted.select("kind", "k1", "k2", "rep", "size"), ["kind", "k1", "k2"], "size").select("kind", "rep", "size", self.id, "train")
+    def members(self, wanted: DataFrame, split: Column) -> DataFrame:
+        """k1, k2, size, <id> of the records of one side of wanted classes; size is how many these are."""
+        slim = self.records.where(split).select("k1", "k2", self.id)
+        return join_hot_keys_apart(slim, wanted.select("k1", "k2", "size"), ["k1", "k2"], "size").select("k1", "k2", "size", self.id)
 
-    def linked(self) -> DataFrame:
-        """kind, rep of the classes that are linked to another one."""
-        return self.links.select("kind", F.col("a").alias("rep")).union(self.links.select("kind", F.col("b").alias("rep"))).distinct()
+    def side(self, name: str, split: str) -> DataFrame:
+        """k1, k2, size: the classes of which members of one side take part in a pair: those in both splits, and those that are linked."""
+        linked = self.links.select(F.col(f"k{name}1").alias("k1"), F.col(f"k{name}2").alias("k2"), F.col(f"n{name}").alias("size"))
+        return self.groups.where("n_train > 0 and n_eval > 0").select("k1", "k2", F.col(f"n_{split}").alias("size")).union(linked).distinct()
 
     def overlapping(self) -> DataFrame:
         """<id> of the evaluation records that are in train as well, exactly or nearly; from classes and links, no pair of records is made."""
-        mixed = self.reps.where("in_train and in_eval").select("kind", "rep")
-        hit = mixed.union(self.links.select("kind", F.col("b").alias("rep"))).distinct()
-        return self.members(self.reps.join(hit, ["kind", "rep"], "left_semi")).where("not train").select(self.id).distinct()
+        return self.members(self.side("b", "eval"), ~F.col("train")).select(self.id).distinct()
 
 
 def _meet(members: DataFrame, other: DataFrame, member: str, rows: int = ROWS_OF_A_KEY) -> DataFrame:
-    """Join on kind and rep of members of classes to rows that name a class; both have its size. Members of a large class are spread over tasks by a hash, and rows of other are repeated in each."""
+    """Join on their key of members of classes to rows that name a class; both have its size. Members of a large class are spread over tasks by a hash, and rows of other are repeated in each."""
     parts = F.ceil(F.col("size") / F.lit(rows)).cast("int")
-    return members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop("size").join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["kind", "rep", "_salt"])
+    return members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop("size").join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["k1", "k2", "_salt"])
 
 
 def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train") -> DataFrame:
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
     o = Overlaps(df, id_col, split, column, latents, train)
-    wanted = o.reps.where("in_train and in_eval").select("kind", "rep").union(o.linked()).distinct()
-    members = cut_lineage(o.members(o.reps.join(wanted, ["kind", "rep"], "left_semi")))
-    x = members.where("train").select("kind", "rep", "size", F.col(id_col).alias("x"))
-    y = members.where("not train").select("kind", "rep", "size", F.col(id_col).alias("y"))
-    same = _meet(x, y, "x").select("x", "y")
-    met = _meet(y, o.links.select("kind", F.col("b").alias("rep"), F.col("sb").alias("size"), "a", "sa"), "y")
-    near = _meet(x, met.select("kind", F.col("a").alias("rep"), F.col("sa").alias("size"), "y"), "x").select("x", "y")
-    return same.union(near).where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
+    x = o.members(o.side("a", "train"), F.col("train")).withColumnRenamed(id_col, "x")
+    y = o.members(o.side("b", "eval"), ~F.col("train")).withColumnRenamed(id_col, "y")
+    of = lambda name, kept: [F.col(f"k{name}1").alias("k1"), F.col(f"k{name}2").alias("k2"), F.col(f"n{name}").alias("size"), *kept]
+    mixed = o.groups.where("n_train > 0 and n_eval > 0").select(F.col("k1").alias("ka1"), F.col("k2").alias("ka2"), F.col("k1").alias("kb1"), F.col("k2").alias("kb2"), F.col("n_train").alias("na"), F.col("n_eval").alias("nb"))
+    links = o.links.drop("shared").union(mixed)
+    met = _meet(y, links.select(*of("b", ["ka1", "ka2", "na"])), "y")
+    pairs = _meet(x, met.select(*of("a", ["y"])), "x")
+    return pairs.where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
 
 
 def overlap_report(df: DataFrame, id_col: str = "row_id", split: str = "data_split", source: str = "dataset_id", column: str = "captions", latents: str = "latents", train: str = "train") -> DataFrame:
