@@ -45,6 +45,10 @@ MAP, COUNTERS = 27, 22
 #: Bins of latent values, the ratio of one class of spreads to the next, and the most that same pictures differ by (root mean square), in spreads.
 BIN, SPREADS, NEAR = 0.75, 1.5, 0.15
 CHUNKS, OFFSETS = 6, 3
+#: Pairs to be checked, counted, up to which the ids of their records are broadcast (two numbers each).
+FEW = 500_000
+#: Keys of copies that a task remembers.
+SENT = 1_000_000
 #: Columns of the 256 bits that say which words a record has.
 BITS = ("b1", "b2", "b3", "b4")
 _BLOCK = 1 << 13
@@ -274,11 +278,19 @@ def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str
 
     def relevant(batches):
         asked, known = Asked(*held.value), _Hashes()
+        sent: set[tuple[bool, int, int]] = set()
 
         def rows_of(batch, rows, keys, row, ds, n, bits, words, x):
-            """The kept rows of a batch, of which rows gives the place in it of each record."""
+            """The kept rows of a batch, of which rows gives the place in it of each record. Copies of what the task has sent are searched no more."""
+            again = np.zeros(len(rows), dtype=bool)
+            for k, key in enumerate(zip(batch.column(1).take(pa.array(rows)).to_pylist(), *keys.T.tolist(), strict=True)):
+                again[k] = key in sent
+                sent.add(key)
+            if len(sent) > SENT:
+                sent.clear()
             evaluation = ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)[rows]
             kept = np.flatnonzero(evaluation | (np.bincount(row, minlength=len(rows)) > 0) | asked.has(keys[:, 0]))
+            row, ds = row[~again[row]], ds[~again[row]]
             of, some = pa.array(rows[kept]), pa.array(kept)
             columns = [batch.column(0).take(of), batch.column(1).take(of), *(pa.array(keys[kept, k].view(np.int64)) for k in (0, 1)), pa.array(n[kept].astype(np.int32)), *(pa.array(bits[kept, k].copy()) for k in range(len(BITS)))]
             return pa.RecordBatch.from_arrays([*columns, _lists(row, ds.view(np.int64), len(rows)).take(some), words.take(some), x.take(some)], names)
@@ -314,18 +326,19 @@ def classes(found: DataFrame, id_col: str) -> DataFrame:
 def candidate_pairs(found: DataFrame) -> DataFrame:
     """ka, kb: the first keys of a class in train and one in evaluation splits that share a word or chunk and are within the bounds on length and differing bits.
 
-    A class in both splits stands on both sides; a pair of a class with itself is left out. Copies are put together as they are sent.
+    A class in both splits stands on both sides; a pair of a class with itself is left out. Each task has sent a class once, and they are put together
+    where they meet, so that what is shuffled is already where the join wants it.
     """
     side = lambda split, name: (
         found.where(split).select(F.col("k1").alias(f"k{name}"), F.col("n").alias(f"n{name}"), *[F.col(c).alias(f"{name}{c}") for c in BITS], F.explode("ds").alias("d"))
-        .groupBy("d", f"k{name}").agg(*[F.first(c).alias(c) for c in (f"n{name}", *(f"{name}{c}" for c in BITS))])
+        .repartition("d").groupBy("d", f"k{name}").agg(*[F.first(c).alias(c) for c in (f"n{name}", *(f"{name}{c}" for c in BITS))])
     )
     a, b = side(F.col("train"), "a"), side(~F.col("train"), "b")
     longer = F.greatest("na", "nb")
     # less than one in ten of the longer one, in whole words
     most = F.expr("greatest(0, (greatest(na, nb) + 9) div 10 - 1)")
-    bits = sum(F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in BITS)
-    near = (longer - F.least("na", "nb") <= most) & (bits <= 2 * most)
+    differ = [F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in BITS]
+    near = (longer - F.least("na", "nb") <= most) & (differ[0] <= 2 * most) & (sum(differ) <= 2 * most)
     return a.join(b, "d").where((F.col("ka") != F.col("kb")) & near).select("ka", "kb").distinct()
 
 
@@ -438,12 +451,20 @@ def _gaps(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (fine.sum(1) * 2 >= x.shape[1]) & ((gap <= NEAR * own) | (gap == 0)), 1 - gap / np.where(own > 0, own, 1)
 
 
-def near_pairs(found: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
-    """ka1, ka2, kb1, kb2, na, nb (members of the classes on their sides), shared: pairs of classes that are near, checked word by word or value by value; shared is the fraction of the longer record that is the same."""
+def near_pairs(found: DataFrame, groups: DataFrame, id_col: str, few: int = FEW) -> DataFrame:
+    """ka1, ka2, kb1, kb2, na, nb (members of the classes on their sides), shared: pairs of classes that are near, checked word by word or value by value; shared is the fraction of the longer record that is the same.
+
+    Where the records to be checked, counted, are no more than few, their ids are broadcast, so that no other record is shuffled with its words.
+    """
     side = lambda name, split: groups.where(f"n_{split} > 0").select(F.col("k1").alias(f"k{name}"), F.col("k2").alias(f"k{name}2"), F.col(f"n_{split}").alias(f"n{name}"), F.col(f"{split}_id").alias(f"i{name}"))
-    pairs = candidate_pairs(found).join(side("a", "train"), "ka").join(side("b", "eval"), "kb")
-    # a record has a text and values under one id, told apart by the key
-    what = lambda name, split: found.where(split).select(F.col(id_col).alias(f"i{name}"), F.col("k1").alias(f"k{name}"), F.col("words").alias(f"w{name}"), F.col("x").alias(f"x{name}"))
+    pairs = written(candidate_pairs(found).join(side("a", "train"), "ka").join(side("b", "eval"), "kb"))
+    send = F.broadcast if pairs.count() <= few else lambda ids: ids
+
+    def what(name: str, split: Column) -> DataFrame:
+        # a record has a text and values under one id, told apart by the key
+        rows = found.where(split).select(F.col(id_col).alias(f"i{name}"), F.col("k1").alias(f"k{name}"), F.col("words").alias(f"w{name}"), F.col("x").alias(f"x{name}"))
+        return rows.join(send(pairs.select(f"i{name}", f"k{name}").distinct()), [f"i{name}", f"k{name}"], "left_semi")
+
     both = pairs.join(what("b", ~F.col("train")), ["ib", "kb"]).join(what("a", F.col("train")), ["ia", "ka"])
     keys = ["ka", "ka2", "kb", "kb2", "na", "nb"]
 
@@ -474,12 +495,12 @@ def near_pairs(found: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
 class Overlaps:
     """What is found of one table: records that can take part, classes of copies, and links between classes. All three are written to the shared folder."""
 
-    def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str):
+    def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str, few: int = FEW):
         self.id = id_col
         usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
         self.records = written(records(usable, id_col, F.col(split) == train, column, latents))
         self.groups = written(classes(self.records, id_col))
-        self.links = written(near_pairs(self.records, self.groups, id_col))
+        self.links = written(near_pairs(self.records, self.groups, id_col, few))
 
     def members(self, wanted: DataFrame, split: Column) -> DataFrame:
         """k1, k2, size, <id> of the records of one side of wanted classes; size is how many these are."""
@@ -502,9 +523,9 @@ def _meet(members: DataFrame, other: DataFrame, member: str, rows: int = ROWS_OF
     return members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop("size").join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["k1", "k2", "_salt"])
 
 
-def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train") -> DataFrame:
+def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train", few: int = FEW) -> DataFrame:
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
-    o = Overlaps(df, id_col, split, column, latents, train)
+    o = Overlaps(df, id_col, split, column, latents, train, few)
     x = o.members(o.side("a", "train"), F.col("train")).withColumnRenamed(id_col, "x")
     y = o.members(o.side("b", "eval"), ~F.col("train")).withColumnRenamed(id_col, "y")
     of = lambda name, kept: [F.col(f"k{name}1").alias("k1"), F.col(f"k{name}2").alias("k2"), F.col(f"n{name}").alias("size"), *kept]

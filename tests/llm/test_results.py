@@ -177,6 +177,10 @@ def test_overlaps_against_brute_force(spark):
             want.add((min(a[0], b[0]), max(a[0], b[0])))
     got = {tuple(x) for x in overlap.cross_split_pairs(df).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) >= 110
+    assert {tuple(x) for x in overlap.cross_split_pairs(df, few=0).collect()} == got  # the other way to fetch the records to be checked
+    report = overlap.overlap_report(df).agg(F.sum("n_overlapping")).first()[0]
+    sides = {x[0]: x[1] for x in rows}
+    assert report == len({i for pair in got for i in pair if sides[i] != "train"})
 
 
 @settings(max_examples=80, deadline=None)
@@ -288,3 +292,35 @@ def test_leaks_in_two_short_pieces(spark):
     documents = spark.createDataFrame(docs, "doc_id long, text string")
     found = leakage.leaks(documents, spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string"))
     assert {tuple(x) for x in found.select("item_id", "doc_id").collect()} == want
+
+
+def test_copies_of_many_records_make_all_their_pairs(spark):
+    rows = [(i, "train" if i < 40 else "eval", ["A  quiet mason, holds a kettle beside a frozen canal in winter." if i % 2 else "a quiet Mason holds a kettle beside a frozen canal in winter"], None) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, data_split string, captions array<string>, latents array<float>")
+    assert {tuple(x) for x in overlap.cross_split_pairs(df).collect()} == {(a, b) for a in range(40) for b in range(40, 60)}
+
+
+def test_edits_and_assignment_against_plain_ones():
+    r = random.Random(3)
+
+    def plain(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            now = [i]
+            for j, y in enumerate(b, 1):
+                now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (x != y)))
+            before = now
+        return before[-1]
+
+    for _ in range(400):
+        a = [r.randrange(6) for _ in range(r.randrange(0, 14))]
+        b = list(a) if r.random() < 0.6 else [r.randrange(6) for _ in range(r.randrange(0, 14))]
+        for _ in range(r.randrange(0, 4)):
+            if b:
+                b[r.randrange(len(b))] = r.randrange(6)
+            b.insert(r.randrange(len(b) + 1), r.randrange(6))
+        most = r.randrange(0, 9)
+        assert overlap.edits(a, b, most) == min(plain(a, b), most + 1)
+        n = r.randrange(1, 5)
+        cost = [[r.randrange(9) for _ in range(n)] for _ in range(n)]
+        assert overlap.assignment(cost) == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
