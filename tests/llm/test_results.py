@@ -242,7 +242,9 @@ def test_leaks_against_brute_force(spark):
     documents = spark.createDataFrame(docs, "doc_id long, text string")
     found = leakage.leaks(documents, spark.createDataFrame(items, "item_id long, text string"))
     got = {tuple(x) for x in found.select("item_id", "doc_id").collect()}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    assert got == want
+    sharded = leakage.leaks(documents, spark.createDataFrame(items, "item_id long, text string"), block_items=3)
+    assert {tuple(x) for x in sharded.select("item_id", "doc_id").collect()} == want
 
 
 def test_reading_held_out(spark):
@@ -324,3 +326,45 @@ def test_edits_and_assignment_against_plain_ones():
         n = r.randrange(1, 5)
         cost = [[r.randrange(9) for _ in range(n)] for _ in range(n)]
         assert overlap.assignment(cost) == min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
+
+
+def test_leaks_with_changed_characters_and_repetitions(spark):
+    r = random.Random(13)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 9)))
+    items = [(k, "".join(han(9) + word() + str(r.randrange(1000, 9999)) for _ in range(12))) for k in range(6)]
+    items += [(k, " ".join(word() for _ in range(60))) for k in range(6, 9)]
+    docs, want = [], set()
+    for i in range(60):
+        k = r.randrange(6)
+        part = list(items[k][1][20:100])
+        for at in range(r.randrange(6, 12), len(part), 14):
+            part[at] = "新"
+        docs.append((i, han(40) + "".join(part) + han(30)))
+        want.add((k, i))
+    for i in range(60, 70):  # a phrase of the item comes often before the passage does
+        k = 6 + i % 3
+        w = items[k][1].split()
+        part = w[10:60]
+        part[25] = "changed"
+        docs.append((i, " ".join([*(w[10:14] + [word()]) * 80, *part])))
+        want.add((k, i))
+    for i in range(70, 90):  # a quote
+        w = items[6 + i % 3][1].split()
+        docs.append((i, " ".join(word() for _ in range(9)) + " " + " ".join(w[:12]) + " " + " ".join(word() for _ in range(9))))
+    found = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(x) for x in found.select("item_id", "doc_id").collect()} == want
+
+
+def test_held_against_all_pairs_of_pieces():
+    r = random.Random(14)
+    for _ in range(300):
+        found = []
+        for _ in range(r.randrange(0, 12)):
+            p, q, n = r.randrange(40), r.randrange(40), r.randrange(1, 12)
+            found.append((n, 0, p, p + n, q, q + n))
+        best = max((x[0] for x in found), default=0)
+        for x, y in itertools.permutations(found, 2):
+            if x[3] <= y[2] and x[5] <= y[4]:
+                best = max(best, x[0] + y[0])
+        assert leakage.held(found) == best
