@@ -8,7 +8,7 @@ nothing out: a document is checked against every item of which it has runs of RU
 common subsequence of runs, in the item's order: runs with little changed between them make pieces, every part of which is tried, and the best one or two
 pieces, in order, must hold WORDS words of the item (CHARACTERS of a Chinese, Japanese or Korean one, in which changes are counted by characters, as a
 changed character splits a name or number). Its gaps are bounded, as a plain common subsequence grows with any long text.
-A piece with more changes than allowed counts if it keeps the item's answers: ANSWERS and more of the item's rarest terms, each of which stands in it.
+A piece of WORDS and more with more changes than allowed counts if it keeps its answers: the rarest fifth of its terms, each of which stands in it.
 
 Items are held by every task in blocks of about BLOCK_ITEMS; more items make more passes over the documents, never a larger task. The corpus is never
 collected or shuffled. A first line of an item that other items share is an instruction and not part of its passage.
@@ -42,7 +42,7 @@ NEAR, GROUPS = 0.8, 64
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 600, 20_000
 #: Items that a task holds at once.
 BLOCK_ITEMS = 20_000
-#: Rare terms that a reworded piece must keep.
+#: Rare terms that a reworded piece must keep at least.
 ANSWERS = 4
 #: Words of a run; words of a gap within a piece; words of the shortest piece.
 RUN, GAP, SHORTEST_PIECE = 4, 4, 8
@@ -409,12 +409,11 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
     numbers: dict[str, int] = {}
     coded = [[numbers.setdefault(w, len(numbers)) for w in tokens] for _, tokens, _, _ in own]
     spelt = [tokens if cjk else codes for codes, (_, tokens, _, cjk) in zip(coded, own, strict=True)]
-    # an item's answers: the rarest of its terms
-    rare = [set(sorted(set(x.tolist()), key=lambda t: (df[t], t))[: max(4, len(set(x.tolist())) // 5)]) for x in lists]
+    rare = [_rarest(x, df) for x in lists]
     kinds = [*map(to_arrow_type, types), pa.int32(), pa.float64(), pa.float64(), pa.float64()]
     n_items = len(own)
-    # a piece of enough words has so many runs at least, its few gaps taken off; characters are fewer words if names stand between them
-    least = np.array([2 * RUN if cjk else WORDS - 3 * RUN + 3 for _, _, _, cjk in own])
+    # words that runs cover at least; characters are fewer words if names stand between them
+    least = [SHORTEST_PIECE if cjk else WORDS for _, _, _, cjk in own]
 
     def search(batches):
         index, known = Index(coded), Vocabulary(numbers)
@@ -445,22 +444,22 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
                             near[d, k] = c
                 doc, item, p, q = index.seeds(w)
                 pair = doc * n_items + item
-                order = np.argsort(pair, kind="stable")
+                order = np.lexsort((q, pair))
                 pair, p, q = pair[order], p[order], q[order]
                 bounds = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]]) if len(pair) else np.zeros(1, dtype=np.int64)
-                for a, b in itertools.pairwise(bounds.tolist()):
+                # what pieces hold of words stands at places of the document that their runs cover
+                covered = np.minimum(np.diff(q, append=0), RUN)
+                covered[bounds[1:] - 1] = RUN
+                covered = np.add.reduceat(covered, bounds[:-1]) if len(pair) else covered
+                for a, b, size in zip(bounds.tolist(), bounds[1:].tolist(), covered.tolist(), strict=False):
                     d, k = divmod(int(pair[a]), n_items)
-                    if b - a < least[k]:
+                    if size < least[k]:
                         continue
                     _, _, sizes, cjk = own[k]
-                    # what pieces hold of words stands at places of the document that their runs cover
-                    places = np.unique(q[a:b])
-                    if not cjk and np.minimum(np.diff(places), RUN).sum() + RUN < WORDS:
-                        continue
                     said = tokens[d] if cjk else w.codes[w.begin[d] : w.begin[d] + w.sizes[d]].tolist()
                     found = spans(chains(spelt[k], said, list(zip(p[a:b].tolist(), q[a:b].tolist(), strict=True)), 2 * GAP if cjk else GAP, cjk), sizes, cjk)
                     terms = w.terms[w.begin[d] : w.begin[d] + w.sizes[d]]
-                    n = held([x for x in found if x[1] <= allowed(x[0], cjk) or _answers(x, lists[k], rare[k], terms)])
+                    n = held([x for x in found if x[1] <= allowed(x[0], cjk) or _answers(x, lists[k], terms, df)])
                     if n >= (CHARACTERS if cjk else WORDS):
                         cosine = near.get((d, k))
                         if cosine is None:
@@ -472,10 +471,13 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
     return documents.where(F.col(doc_id).isNotNull()).select(doc_id, text).mapInArrow(search, ddl)
 
 
-def _answers(span: tuple[int, int, int, int, int, int], item: np.ndarray, rare: set[int], text: np.ndarray) -> bool:
-    """Whether a reworded piece keeps the item's answers: of at least ANSWERS rare terms in it all stand in the document's piece as well, and no more than a fifth is changed."""
+def _rarest(terms: np.ndarray, df: np.ndarray) -> set[int]:
+    """The rarest fifth of the terms of a text, its answers; ANSWERS at least."""
+    own = sorted(set(terms.tolist()), key=lambda t: (df[t], t))
+    return set(own[: max(ANSWERS, len(own) // 5)])
+
+
+def _answers(span: tuple[int, int, int, int, int, int], item: np.ndarray, text: np.ndarray, df: np.ndarray) -> bool:
+    """Whether a reworded piece keeps its answers: all of its rarest terms stand in the document's piece as well, and no more than a fifth is changed. A short piece has too few of them to tell."""
     agreeing, changed, p0, p1, q0, q1 = span
-    if changed * 5 > agreeing:
-        return False
-    asked = rare & set(item[p0:p1].tolist())
-    return len(asked) >= ANSWERS and asked <= set(text[q0:q1].tolist())
+    return agreeing >= WORDS and changed * 5 <= agreeing and _rarest(item[p0:p1], df) <= set(text[q0:q1].tolist())

@@ -81,7 +81,11 @@ def fold(text: str) -> str:
 WORD = re.compile(r"[⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]|[^\W_⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]+")
 
 
+_CJK = re.compile("[⺀-鿿가-힯豈-﫿\U00020000-\U0003ffff]")
+
+
 def words(text: str) -> list[str]:
     """The words of the folded text; each Chinese, Japanese or Korean character is a word of its own."""
     folded = fold(text)
-    return folded.split() if folded.isascii() else WORD.findall(folded)
+    # a folded text holds letters, digits and blanks only, so without such characters its words stand between the blanks
+    return WORD.findall(folded) if not folded.isascii() and _CJK.search(folded) else folded.split()

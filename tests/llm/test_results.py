@@ -333,8 +333,9 @@ def test_leaks_with_changed_characters_and_repetitions(spark):
     han = lambda n: "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(n))
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(4, 9)))
     items = [(k, "".join(han(9) + word() + str(r.randrange(1000, 9999)) for _ in range(12))) for k in range(6)]
-    items += [(k, " ".join(word() for _ in range(60))) for k in range(6, 9)]
-    docs, want = [], set()
+    common = "village river garden window market candle".split()
+    items += [(k, " ".join(r.choice(common) if j % 6 == 3 else word() for j in range(60))) for k in range(6, 9)]
+    docs, want = [(1000 + i, " ".join(common)) for i in range(40)], set()
     for i in range(60):
         k = r.randrange(6)
         part = list(items[k][1][20:100])
@@ -349,6 +350,14 @@ def test_leaks_with_changed_characters_and_repetitions(spark):
         part[25] = "changed"
         docs.append((i, " ".join([*(w[10:14] + [word()]) * 80, *part])))
         want.add((k, i))
+    for i in range(90, 96):  # reworded: common words change, the names in it stay
+        k = 6 + i % 3
+        w = items[k][1].split()[5:45]
+        for at in range(4, 40, 6):
+            assert w[at] in common
+            w[at] = "other"
+        docs.append((i, " ".join(word() for _ in range(9)) + " " + " ".join(w)))
+        want.add((k, i))
     for i in range(70, 90):  # a quote
         w = items[6 + i % 3][1].split()
         docs.append((i, " ".join(word() for _ in range(9)) + " " + " ".join(w[:12]) + " " + " ".join(word() for _ in range(9))))
