@@ -32,6 +32,19 @@ def p1_token_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_report(_mix_plan(spark, folder, by_rows=False)[1], by_rows=False)
 
 
+def p1_token_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """What the plan in tokens really takes, beside what can be taken, for sources with rows."""
+    report = mixing.mix_report(_mix_plan(spark, folder, by_rows=False)[1], by_rows=False).where("capacity > 0")
+    return report.select("mix_id", "dataset_id", F.col("capacity").cast("long").alias("capacity_tokens"), F.col("actual").alias("actual_tokens"))
+
+
+def p1_row_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The drawn rows by mix and source: how many copies, and the most of one row."""
+    train, plan = _mix_plan(spark, folder)
+    drawn = mixing.draw(train, plan, "row_id", mixing.row_tokens(F.col("captions")), seed=42).join(train.select("row_id", "dataset_id"), "row_id")
+    return drawn.groupBy("mix_id", "dataset_id").agg(F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"))
+
+
 def p1_rows(spark: SparkSession, folder: str) -> DataFrame:
     train, plan = _mix_plan(spark, folder)
     return mixing.draw(train, plan, "row_id", mixing.row_tokens(F.col("captions")), seed=42)
