@@ -434,14 +434,13 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
                 passage[following] += sums[following + 1]
                 passage = _unit(passage)
                 reached = passage @ centres.T >= reach
-                near: dict[tuple[int, int], float] = {}
+                near = np.full((len(tokens), n_items), -1.0, dtype=np.float32)
                 for j in np.flatnonzero(reached.any(0)):
                     rows = np.flatnonzero(reached[:, j])
                     cosine = passage[rows] @ grouped[j][0]
-                    row, column = np.nonzero(cosine >= NEAR)
-                    for d, k, c in zip(of[rows[row]].tolist(), grouped[j][1][column].tolist(), cosine[row, column].tolist(), strict=True):
-                        if c > near.get((d, k), -1.0):
-                            near[d, k] = c
+                    hit = np.flatnonzero(cosine >= NEAR)
+                    row, column = np.divmod(hit, cosine.shape[1])
+                    np.maximum.at(near, (of[rows[row]], grouped[j][1][column]), cosine.ravel()[hit])
                 doc, item, p, q = index.seeds(w)
                 pair = doc * n_items + item
                 order = np.lexsort((q, pair))
@@ -461,8 +460,8 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
                     terms = w.terms[w.begin[d] : w.begin[d] + w.sizes[d]]
                     n = held([x for x in found if x[1] <= allowed(x[0], cjk) or _answers(x, lists[k], terms, df)])
                     if n >= (CHARACTERS if cjk else WORDS):
-                        cosine = near.get((d, k))
-                        if cosine is None:
+                        cosine = float(near[d, k])
+                        if cosine < NEAR:
                             cosine = float((passage[of == d] @ vectors[owner == k].T).max())
                         out.append((own[k][0], batch.column(0)[lo + d].as_py(), n, n / sizes[-1], len(rare[k] & set(terms.tolist())) / len(rare[k]), round(cosine, 4)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
