@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def doubles(values: Column) -> Column:
@@ -177,6 +180,55 @@ def solve(x: Column, field: Callable[[Column, Column], Column], times: Column, m
     return F.aggregate(spans, x, lambda state, s: step(state, s["a"], s["b"]))
 
 
+def solved(
+    df: DataFrame, column: str, field: Callable[[np.ndarray, float], np.ndarray], times: Sequence[float], method: str | Callable = "euler", intermediates: bool = False, callback: Callable[[int, int], None] | None = None, name: str = "solved"
+) -> DataFrame:
+    """df with the arrays of a column after all steps between the given times; with intermediates, the array of all states from the first on.
+
+    field(x, t) gives the velocities of a matrix of rows, as a model does; a batch of rows is one matrix. method is euler, heun, or a function step(x, t, dt, field).
+    callback(step, steps) is called in the task before each step of a batch. Null arrays stay null; arrays of a batch may differ in length.
+    """
+
+    def euler_step(x, t, dt, field):
+        return x + dt * field(x, t)
+
+    def heun_step(x, t, dt, field):
+        v = field(x, t)
+        return x + 0.5 * dt * (v + field(x + dt * v, t + dt))
+
+    steps = {"euler": euler_step, "heun": heun_step}
+    if not callable(method) and method not in steps:
+        raise ValueError(f"unknown method {method!r}")
+    step = method if callable(method) else steps[method]
+    kind = T.ArrayType(T.ArrayType(T.DoubleType())) if intermediates else T.ArrayType(T.DoubleType())
+    schema = T.StructType([f for f in df.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    spans = list(zip(times[:-1], times[1:], strict=True))
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(column)
+            sizes = np.where(values.is_null(), -1, np.diff(values.offsets.to_numpy()))
+            flat = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+            out: list = [None] * batch.num_rows
+            for size in np.unique(sizes[sizes >= 0]):
+                rows = np.flatnonzero(sizes == size)
+                x = flat[starts[rows][:, None] + np.arange(size)]
+                states = [x]
+                for k, (a, b) in enumerate(spans, 1):
+                    if callback:
+                        callback(k, len(spans))
+                    x = step(x, a, b - a, field)
+                    states.append(x)
+                made = np.stack(states, 1) if intermediates else x
+                for row, value in zip(rows.tolist(), made.tolist(), strict=True):
+                    out[row] = value
+            kept = [batch.column(f.name) for f in schema.fields[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.list_(pa.list_(pa.float64())) if intermediates else pa.list_(pa.float64()))], schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def guided(cond: Column, uncond: Column, scale: float) -> Column:
     """Without condition plus scale times the difference; scales up to 1 leave the conditional result as it is."""
     return cond if scale <= 1 else F.zip_with(uncond, cond, lambda u, c: u + scale * (c - u))
@@ -205,6 +257,24 @@ def padded(sequence: Column, size: Column, filler: Column) -> Column:
     return F.concat(sequence, F.array_repeat(filler, F.greatest(size - F.size(sequence), F.lit(0)).cast("int")))
 
 
+def padding_mask(sequence: Column, size: Column) -> Column:
+    """1 for each item of a sequence and 0 for each that padding to size adds."""
+    n = F.size(sequence)
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(size - n, F.lit(0)).cast("int")))
+
+
+def progress(step: Column, steps: Column) -> Column:
+    """How far a run has come: from 0.1 before the first step to 0.9 after the last."""
+    return 0.1 + 0.8 * step / steps
+
+
+def grid_shape(n: Column, rows: Column | None = None, columns: Column | None = None) -> Column:
+    """struct(rows, columns) of a grid for n pictures: as many columns as given, or as rows need, or as a square needs."""
+    square = F.ceil(F.sqrt(n))
+    wide = columns if columns is not None else F.ceil(n / rows) if rows is not None else square
+    return let(wide.cast("int"), lambda w: F.struct((rows if rows is not None and columns is None else F.ceil(n / w)).cast("int").alias("rows"), w.alias("columns")))
+
+
 def sinusoids(t: Column, dims: int, period: float = 10000.0) -> Column:
     half = dims // 2
     angles = F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda i: t * F.exp(-math.log(period) * i / float(half)))
@@ -226,6 +296,19 @@ def rotate(values: Column, angles: Column) -> Column:
     return F.flatten(turned)
 
 
+def patched(values: Column, rows: int, columns: int, channels: int, patch: int) -> Column:
+    """From one image per channel to one list of (patch row, patch column, channel) per patch; the inverse of unpatched."""
+    height, width = rows * patch, columns * patch
+
+    def place(k: Column) -> Column:
+        c, inner, token = k % channels, F.floor(k / channels) % (patch * patch), F.floor(k / (channels * patch * patch))
+        y = F.floor(token / columns) * patch + F.floor(inner / patch)
+        x = token % columns * patch + inner % patch
+        return F.get(values, ((c * height + y) * width + x).cast("int"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(height * width * channels - 1)), place)
+
+
 def unpatched(values: Column, rows: int, columns: int, channels: int, patch: int) -> Column:
     """From one list of (patch row, patch column, channel) per patch to one image per channel."""
     height, width = rows * patch, columns * patch

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenloom.operators.skew import join_hot_keys_apart
 from lumenloom.session import cut_lineage
 
 _IN_PARTITION = (1 << 33) - 1
@@ -52,6 +53,20 @@ def place_in_group(df: DataFrame, groups: Sequence[str], pos: str, name: str = "
     return joined.withColumn(name, F.col("_before") + inside).drop("_step", "_before")
 
 
+def place_by(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str = "place") -> DataFrame:
+    """df with each row's place, from 0, within its group in the order of any columns; the last of them should tell rows apart.
+
+    All rows are sorted by ranges of group and order, whatever the size of a group; a place is a row's position less the first one of its group.
+    """
+    key = F.struct(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    placed = with_position(df.withColumn("_key", key), "_key", "_pos").drop("_key")
+    firsts = placed.groupBy(*groups).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_count"))
+    coded = [F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in groups]
+    one = firsts.select(F.concat_ws("\x01", *coded).alias("_group"), "_first", "_count")
+    many = placed.withColumn("_group", F.concat_ws("\x01", *coded))
+    return join_hot_keys_apart(many, one, ["_group"], "_count").withColumn(name, F.col("_pos") - F.col("_first")).drop("_pos", "_first", "_count", "_group")
+
+
 def head(df: DataFrame, key: str, n: int) -> DataFrame:
     """The first n rows in the order of a key, or all if there are fewer."""
     return df.orderBy(key).limit(n)

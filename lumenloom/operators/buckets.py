@@ -7,6 +7,8 @@ import ast
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumenloom.functions.kernels import let
+
 Buckets = dict[int, tuple[int, int]]
 
 
@@ -44,21 +46,24 @@ def usable(buckets: Buckets) -> Buckets:
     return out
 
 
-def nearest(width: Column, height: Column, buckets: Buckets) -> Column:
+def nearest(width: Column, height: Column, buckets: Buckets, strict: bool = False) -> Column:
     """struct(distance, place, bucket_id, width, height) of the bucket with the nearest aspect ratio, the first listed of equally near ones.
 
-    The buckets are literals of the plan, so nothing is joined. Null where a side is null or not positive.
+    The buckets are literals of the plan, so nothing is joined, and distances are worked out once a row. Null where a side is null or not positive, or,
+    if strict, an error.
     """
-    aspect = width / height
-    options = [
-        F.struct(
-            F.abs(F.lit(w / h) - aspect).alias("distance"), F.lit(k).alias("place"), F.lit(i).cast("int").alias("bucket_id"), F.lit(w).alias("width"), F.lit(h).alias("height")
-        )
-        for k, (i, (w, h)) in enumerate(usable(buckets).items())
-    ]
-    return F.when((width > 0) & (height > 0), F.array_min(F.array(*options)))
+    known = usable(buckets)
+    ids, widths, heights = (F.array(*[F.lit(v).cast("int") for v in values]) for values in (known, [w for w, _ in known.values()], [h for _, h in known.values()]))
+    distances = lambda aspect: F.array(*[F.abs(F.lit(w / h) - aspect) for w, h in known.values()])
+
+    def chosen(d: Column) -> Column:
+        place = lambda k: F.struct(F.get(d, k).alias("distance"), k.alias("place"), F.get(ids, k).alias("bucket_id"), F.get(widths, k).alias("width"), F.get(heights, k).alias("height"))
+        return let((F.array_position(d, F.array_min(d)) - 1).cast("int"), place)
+
+    found = F.when((width > 0) & (height > 0), let(width / height, lambda aspect: let(distances(aspect), chosen)))
+    return F.coalesce(found, F.raise_error(F.lit("no bucket for a picture without positive sides"))) if strict else found
 
 
 def too_small(width: Column, height: Column, bucket: Column, tolerance: float) -> Column:
-    """Whether a picture falls short of its bucket on a side."""
+    """Whether a decoded picture falls short of its bucket on a side."""
     return (width < bucket["width"] * tolerance) | (height < bucket["height"] * tolerance)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,6 +61,6 @@ def drop_reason(rules: list[tuple[str, Column]]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def drop_report(df: DataFrame, reason: str = "drop_reason") -> DataFrame:
-    """reason, n_rows: how many records each rule dropped; kept ones under 'kept'."""
-    return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))
+def drop_report(df: DataFrame, reason: str = "drop_reason", by: Sequence[str] = ()) -> DataFrame:
+    """reason, n_rows: how many records each rule dropped; kept ones under 'kept'. With by, for each batch."""
+    return df.groupBy(*by, F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lumenloom.plans import batches, curation, evaluation, numeric, skewed  # noqa: F401
+    from lumenloom.plans import batches, curation, evaluation, numeric, skewed, transfer  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

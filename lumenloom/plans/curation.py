@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,6 +133,60 @@ def drop_report(spark: SparkSession, folder: str) -> DataFrame:
     return filters.drop_report(_prepared(spark, folder))
 
 
+#: A fetcher and decoder that depend on the address only, as there is no network: by the first digit of its md5 the fetch times out (0), fails (1), finds nothing (2), finds no picture (3), or a picture that cannot be resized (4).
+_SIZE = "(150 + ('0x' || substr(md5(url), {0}, 2))::INT * 2)"
+_LATE = f"""pos AS (SELECT raw_id, (row_number() OVER (ORDER BY raw_id) - 1)::BIGINT AS pos FROM raw_image_text),
+size AS (SELECT raw_id, url, {_SIZE.format(3)} AS dw, {_SIZE.format(5)} AS dh, substr(md5(url), 1, 1) AS f FROM raw_image_text),
+post AS (SELECT raw_id, b AS pb, bw AS pw, bh AS ph FROM (SELECT raw_id, b, bw, bh, row_number() OVER (PARTITION BY raw_id ORDER BY abs(bw::DOUBLE / bh - dw::DOUBLE / dh), k) AS r FROM size, (VALUES {_B}) AS bk(b, k, bw, bh)) WHERE r = 1),
+late AS (SELECT raw_id, pos, captions, pb, coalesce(reason, CASE WHEN url IS NULL THEN 'invalid_image' WHEN f = '0' THEN 'fetch_timeout' WHEN f = '1' THEN 'fetch_error' WHEN f IN ('2', '3') THEN 'invalid_image' WHEN f = '4' THEN 'bucket_error'
+  WHEN dw < pw * 0.7 OR dh < ph * 0.7 THEN 'resolution_post' END) AS reason FROM reasons JOIN pos USING (raw_id) JOIN size USING (raw_id) JOIN post USING (raw_id)),
+fails AS (SELECT pos // 50 AS batch_no, pb FROM late WHERE reason IS NULL GROUP BY 1, 2 HAVING min(raw_id) % 9 = 0),
+done AS (SELECT raw_id, pos, captions, pos // 50 AS batch_no, late.pb, CASE WHEN reason IS NULL AND fails.pb IS NOT NULL THEN 'encode_error' ELSE reason END AS reason FROM late LEFT JOIN fails ON fails.batch_no = pos // 50 AND fails.pb = late.pb)"""
+
+
+def _fetch(url: str) -> bytes | None:
+    first = md5(url.encode()).hexdigest()[0]
+    if first == "0":
+        raise TimeoutError(url)
+    if first == "1":
+        raise OSError(url)
+    return None if first == "2" else url.encode()
+
+
+def _decode(content: bytes) -> tuple[int, int]:
+    digits = md5(content).hexdigest()
+    if digits[0] == "3":
+        raise ValueError("no picture")
+    return tuple(150 + int(digits[k : k + 2], 16) * 2 for k in (2, 4))
+
+
+def _encode(rows: pd.DataFrame) -> list:
+    if rows["raw_id"].min() % 9 == 0:
+        raise RuntimeError("the encoder fails")
+    return [[float(len(c)) for c in captions] for captions in rows["captions"]]
+
+
+def _encoded(spark: SparkSession, folder: str) -> DataFrame:
+    placed = algebra.with_position(_raw(spark, folder), "raw_id")
+    prepared = prepare.prepared(placed, "raw_id", ["caption_text", "human_caption_hq"], BUCKETS, LIMITS).select("raw_id", "pos", "url", "captions", "bucket", "drop_reason")
+    got = readers.fetched(prepared, "url", _fetch, _decode).drop("content")
+    resized = got.withColumn("status", F.when((F.col("status") == "ok") & F.md5("url").startswith("4"), "resize_error").otherwise(F.col("status")))
+    return prepare.encode_groups(prepare.fetch_outcomes(resized, BUCKETS, 0.7), _encode, "pos")
+
+
+@query(f"WITH {REASONS}, {_LATE} SELECT batch_no::BIGINT AS batch_no, coalesce(reason, 'kept') AS reason, count(*) AS n_rows FROM done GROUP BY 1, 2")
+def drop_report_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """All reasons, from captions to encoding, for each batch of 50 records."""
+    return filters.drop_report(_encoded(spark, folder), by=["batch_no"])
+
+
+@query(f"WITH {REASONS}, {_LATE} SELECT (row_number() OVER (ORDER BY pos) - 1)::BIGINT AS place, raw_id, pb AS resolution_bucket_id, coalesce(list_sum(list_transform(captions, lambda c: length(c))), 0)::DOUBLE AS latent_sum FROM done WHERE reason IS NULL")
+def prepare_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The records that are left after encoding, in the order of the input."""
+    kept = _encoded(spark, folder).where("drop_reason is null").select("pos", "raw_id", F.col("bucket.bucket_id").alias("resolution_bucket_id"), F.aggregate("latents", F.lit(0.0), lambda a, x: a + x).alias("latent_sum"))
+    return prepare.ordered(kept, "pos").select("place", "raw_id", "resolution_bucket_id", "latent_sum")
+
+
 @query("SELECT row_id, data_split FROM precomputed ORDER BY row_id LIMIT 500")
 def head_range(spark: SparkSession, folder: str) -> DataFrame:
     return readers.split_head(table(spark, folder, "precomputed"), "row_id", "train[:500]").select("row_id", "data_split")
@@ -200,6 +257,17 @@ def channel_stats(spark: SparkSession, folder: str) -> DataFrame:
     return stats.select("channel", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
+_CHANNEL = "((i // 4 - 5) / 30.0::DOUBLE)", "((5 + i // 4) / 30.0::DOUBLE)"
+
+
+@query(f"SELECT (i // 4)::INT AS channel, round(avg((x - {_CHANNEL[0]}) / {_CHANNEL[1]}), 5) AS mean, round(stddev_samp((x - {_CHANNEL[0]}) / {_CHANNEL[1]}), 5) AS std FROM (SELECT unnest(latents)::DOUBLE AS x, unnest(range(len(latents))) AS i FROM precomputed WHERE latents IS NOT NULL) WHERE isfinite(x) GROUP BY 1")
+def scaled_latent_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Of latents scaled by the means and deviations of their channels."""
+    means, stds = [(c - 5) / 30 for c in range(16)], [(5 + c) / 30 for c in range(16)]
+    stats = profile.channel_statistics(table(spark, folder, "precomputed"), "latents", 4, means, stds)
+    return stats.select("channel", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
 @query("SELECT coalesce(bool_or(isnan(v)), FALSE) AS has_nan, coalesce(bool_or(isinf(v)), FALSE) AS has_inf FROM (SELECT unnest(latents) AS v FROM precomputed)")
 def nonfinite_flags(spark: SparkSession, folder: str) -> DataFrame:
     return profile.value_statistics(table(spark, folder, "precomputed"), "latents").select("has_nan", "has_inf")

@@ -83,6 +83,50 @@ def fid(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(round(value, 6),)], "distance double")
 
 
-@query("SELECT i AS k, trunc(i * 49 / 9.0)::BIGINT AS step FROM range(10) AS t(i)")
+@query("""WITH v AS (SELECT vec_id % 2 AS g, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT g, i, avg(x) AS m, var_samp(x) AS v FROM v GROUP BY 1, 2)
+SELECT round(sum(power(a.m - b.m, 2)), 6) AS mean_gap, round(sum(a.v), 6) AS trace_a, round(sum(b.v), 6) AS trace_b FROM m a JOIN m b USING (i) WHERE a.g = 0 AND b.g = 1""")
+def fid_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The parts of the distance that need no matrix root."""
+    df = _vectors(spark, folder)
+    (_, m1, s1), (_, m2, s2) = (evaluate.gaussian(df.where(f"vec_id % 2 = {k}"), "v") for k in (0, 1))
+    return spark.createDataFrame([(round(float(((m1 - m2) ** 2).sum()), 6), round(float(s1.trace()), 6), round(float(s2.trace()), 6))], "mean_gap double, trace_a double, trace_b double")
+
+
+@query("""WITH v AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT i, avg(x) AS m, var_samp(x) AS v FROM v GROUP BY 1)
+SELECT round(sum(power(m + 1, 2)) + sum(v), 4) AS distance FROM m""")
+def fid_scaled(spark: SparkSession, folder: str) -> DataFrame:
+    """Between vectors and twice themselves plus 1: covariances that commute, so the root is known and the distance is |m + 1|^2 + Tr S."""
+    df = _vectors(spark, folder)
+    value = evaluate.frechet_distance(evaluate.gaussian(df, "v"), evaluate.gaussian(df.select(F.transform("v", lambda x: 2 * x + 1).alias("v")), "v"))
+    return spark.createDataFrame([(round(value, 4),)], "distance double")
+
+
+@query(f"""WITH v AS (SELECT vec_id, vec_id % 2 AS g, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+u AS (SELECT s, g, vec_id, x, row_number() OVER (PARTITION BY s, g ORDER BY {U.format("(vec_id || ':' || s)", 42)}, vec_id) AS r FROM v, range(20) AS t(s)),
+f AS (SELECT * FROM u WHERE r <= 50),
+k AS (SELECT a.s AS s, a.g AS ga, b.g AS gb, sum(CASE WHEN a.g <> b.g OR a.vec_id <> b.vec_id THEN power(list_dot_product(a.x, b.x) / len(a.x) + 1, 3) END) AS t FROM f a JOIN f b ON a.s = b.s GROUP BY 1, 2, 3),
+d AS (SELECT s, sum(CASE WHEN ga = gb THEN t / 2450.0 WHEN ga = 0 THEN -2 * t / 2500.0 END) AS d FROM k GROUP BY 1)
+SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, 50 AS size FROM d""")
+def kid_subsets(spark: SparkSession, folder: str) -> DataFrame:
+    df = _vectors(spark, folder)
+    found = evaluate.kernel_distance_subsets(df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1"), "vec_id", "v", size=50, subsets=20)
+    return found.select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "size")
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, list_reverse(list_transform(embedding, lambda x: x::DOUBLE)) AS w FROM embeddings ORDER BY vec_id LIMIT 256)
+SELECT count(*) AS n, round(greatest(avg(100 * list_dot_product(v, w) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(w, w)))), 0), 6) AS score FROM e""")
+def limited_score(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of as many rows as prompts and the limit of 256 allow; the limit is the feature."""
+    df = _vectors(spark, folder).withColumn("w", F.reverse("v"))
+    some = evaluate.limited(df, "vec_id", 256, 1000)
+    return some.agg(F.count(F.lit(1)).alias("n"), F.round(F.greatest(F.avg(100.0 * K.cosine(F.col("v"), F.col("w"))), F.lit(0.0)), 6).alias("score"))
+
+
+@query("""WITH s AS (SELECT run_name, train_step, row_number() OVER (PARTITION BY run_name ORDER BY train_step) - 1 AS place, count(*) OVER (PARTITION BY run_name) AS n FROM (SELECT DISTINCT run_name, train_step FROM train_telemetry WHERE train_step IS NOT NULL))
+SELECT run_name, train_step FROM s WHERE n < 10 OR place IN (SELECT floor(i * (n - 1) / 9.0) FROM range(10) AS t(i))""")
 def linspace_pick(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(k, s) for k, s in enumerate(evaluate.spaced_steps(50, 10))], "k long, step long")
+    """Ten steps of each run, evenly spaced over all that were logged."""
+    steps = table(spark, folder, "train_telemetry").where("train_step is not null").select("run_name", "train_step").distinct()
+    placed = algebra.place_by(steps, ["run_name"], [F.col("train_step")])
+    sizes = steps.groupBy("run_name").agg(F.count(F.lit(1)).alias("n"))
+    return placed.join(sizes, "run_name").where(evaluate.is_spaced(F.col("place"), F.col("n"), 10)).select("run_name", "train_step")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,17 +61,30 @@ def path_losses(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("row_id", F.round(K.mean_square(F.col("x"), F.col("z")), 6).alias("mse"), F.round(K.score_loss(F.col("x"), F.col("z"), F.col("t")), 6).alias("score"))
 
 
+TIMES = [i / 10 for i in range(11)]
+
+
+def _decay(x: np.ndarray, t: float) -> np.ndarray:
+    return -x
+
+
 @query(_sql(x1=_Z.format("x[i + 1] * power(1 - 0.1, 10)")))
 def euler_linear(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten Euler steps of dx/dt = -x from 0 to 1."""
-    times = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10.0)
-    return _summed(_pairs(spark, folder), x1=K.solve(F.col("x"), lambda x, t: F.transform(x, lambda v: -v), times, "euler"))
+    """Ten Euler steps of dx/dt = -x from 0 to 1, a batch of rows at a time."""
+    return _summed(K.solved(_pairs(spark, folder).select("row_id", "x"), "x", _decay, TIMES, "euler", name="x1"), x1=F.col("x1"))
 
 
 @query(_sql(x1=_Z.format("x[i + 1] * power(1 - 0.1 + 0.005, 10)")))
 def heun_linear(spark: SparkSession, folder: str) -> DataFrame:
-    times = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: i / 10.0)
-    return _summed(_pairs(spark, folder), x1=K.solve(F.col("x"), lambda x, t: F.transform(x, lambda v: -v), times, "heun"))
+    return _summed(K.solved(_pairs(spark, folder).select("row_id", "x"), "x", _decay, TIMES, "heun", name="x1"), x1=F.col("x1"))
+
+
+@query(f"WITH {_P} SELECT row_id, s AS step, round(list_sum({_Z.format('x[i + 1] * power(0.9, s)')}), 5) AS state_sum FROM p, range(11) AS t(s)")
+def ode_states(spark: SparkSession, folder: str) -> DataFrame:
+    """The states of ten steps, with the start, of a solver that is given as a function."""
+    step = lambda x, t, dt, field: x + dt * field(x, t)
+    made = K.solved(_pairs(spark, folder).select("row_id", "x"), "x", _decay, TIMES, step, intermediates=True, name="states")
+    return made.select("row_id", F.posexplode("states").alias("step", "v")).select("row_id", F.col("step").cast("long").alias("step"), F.round(K.total(F.col("v")), 5).alias("state_sum"))
 
 
 @query(_sql(flow=_Z.format("x[i + 1] - 0.5 * (0.1 + t * 19.9) * (x[i + 1] + z[i + 1]) * 0.02")))
@@ -128,6 +142,13 @@ def unpatchify(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("row_id", F.round(K.total(F.transform(made, lambda v, k: (k + 1) * v)), 4).alias("checksum"))
 
 
+@query(f"""WITH {_P} SELECT row_id, round(list_sum(list_transform(range(64), lambda k: (k + 1) * x[(k % 4) * 16 + ((k // 16) // 2 * 2 + (k // 4) % 4 // 2) * 4 + (k // 16) % 2 * 2 + (k // 4) % 2 + 1])), 4) AS checksum, TRUE AS came_back FROM p""")
+def patchify(spark: SparkSession, folder: str) -> DataFrame:
+    """4 images of 4 x 4 cut to four patches of 2 x 2 pixels and 4 channels, and put together again."""
+    made = K.let(K.patched(F.col("x"), 2, 2, 4, 2), lambda v: F.struct(F.round(K.total(F.transform(v, lambda x, k: (k + 1) * x)), 4).alias("checksum"), (K.unpatched(v, 2, 2, 4, 2) == F.col("x")).alias("came_back")))
+    return _pairs(spark, folder).select("row_id", made.alias("m")).select("row_id", "m.*")
+
+
 @query("""SELECT resolution_bucket_id, round(CASE WHEN height * width / 4.0 <= 256 THEN 1 ELSE 1 + 2 * least(ln(height * width / 4.0 / 256) / ln(16.0), 1) END, 9) AS shift,
   (floor(greatest(width - 7, 64) / 16) * 16)::INT AS sane_width FROM resolution_bucket""")
 def time_shift(spark: SparkSession, folder: str) -> DataFrame:
@@ -180,13 +201,14 @@ def logit_normal(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select("row_id", F.round(1 / (1 + F.exp(-normal(F.col("row_id"), 9))), 6).alias("t"))
 
 
-@query("""WITH s AS (SELECT row_id, len(captions) AS n, row_id // 16 AS batch FROM precomputed WHERE captions IS NOT NULL)
-SELECT row_id, n AS n_real, greatest(max(n) OVER (PARTITION BY batch), 1) AS n_padded FROM s""")
+@query("""WITH s AS (SELECT row_id, captions, len(captions) AS n, row_id // 16 AS batch FROM precomputed WHERE captions IS NOT NULL), m AS (SELECT *, greatest(max(n) OVER (PARTITION BY batch), 1) AS size FROM s)
+SELECT row_id, n AS n_real, size AS n_padded, array_to_string(list_concat(list_transform(captions, lambda c: coalesce(c, '-')), list_transform(range(size - n), lambda i: '')), '|') AS padded, repeat('1', n) || repeat('0', size - n) AS mask FROM m""")
 def pad_batch(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "precomputed").where("captions is not null").select("row_id", "captions", F.floor(F.col("row_id") / 16).alias("batch"))
+    """Caption lists padded to the longest of their batch of 16 ids, with the mask of what is real."""
+    df = table(spark, folder, "precomputed").where("captions is not null").select("row_id", F.transform("captions", lambda c: F.coalesce(c, F.lit("-"))).alias("captions"), F.floor(F.col("row_id") / 16).alias("batch"))
     most = df.groupBy("batch").agg(F.greatest(F.max(F.size("captions")), F.lit(1)).alias("size"))
-    padded = df.join(most, "batch").withColumn("full", K.padded(F.col("captions"), F.col("size"), F.lit("")))
-    return padded.select("row_id", F.size("captions").cast("long").alias("n_real"), F.size("full").cast("long").alias("n_padded"))
+    both = df.join(most, "batch").withColumn("full", K.padded(F.col("captions"), F.col("size"), F.lit(""))).withColumn("mask", K.padding_mask(F.col("captions"), F.col("size")))
+    return both.select("row_id", F.size("captions").cast("long").alias("n_real"), F.size("full").cast("long").alias("n_padded"), F.array_join("full", "|").alias("padded"), F.array_join(F.transform("mask", lambda m: m.cast("string")), "").alias("mask"))
 
 
 @query(f"WITH {_P} SELECT row_id, len(x[39:]) AS n, round(list_sum(x[39:]), 5) AS kept_sum FROM p")
@@ -200,3 +222,12 @@ def width_ladder(spark: SparkSession, folder: str) -> DataFrame:
     w = F.col("width")
     heads = F.when(w >= 1152, 16).when(w >= 768, 12).when(w >= 640, 10).otherwise(8)
     return table(spark, folder, "resolution_bucket").select("resolution_bucket_id", heads.alias("heads"), F.ceil(F.sqrt("height")).cast("int").alias("grid_side"))
+
+
+@query("""SELECT resolution_bucket_id AS n, ceil(sqrt(resolution_bucket_id))::INT AS square_columns, ceil(resolution_bucket_id / ceil(sqrt(resolution_bucket_id)))::INT AS square_rows, ceil(resolution_bucket_id / 3.0)::INT AS columns_of_three_rows,
+  ceil(resolution_bucket_id / 5.0)::INT AS rows_of_five_columns FROM resolution_bucket WHERE resolution_bucket_id > 0""")
+def grid_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """Grids for as many pictures as a bucket's number: square, of three rows, of five columns."""
+    n = F.col("resolution_bucket_id")
+    square, rows, columns = K.grid_shape(n), K.grid_shape(n, rows=F.lit(3)), K.grid_shape(n, columns=F.lit(5))
+    return table(spark, folder, "resolution_bucket").where(n > 0).select(n.alias("n"), square["columns"].alias("square_columns"), square["rows"].alias("square_rows"), rows["columns"].alias("columns_of_three_rows"), columns["rows"].alias("rows_of_five_columns"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from lumenloom.functions.text import clean_caption
 from lumenloom.operators import buckets as B
 from lumenloom.operators import filters as R
+from lumenloom.operators.algebra import with_position
 
 
 @dataclass(frozen=True)
@@ -62,15 +64,64 @@ def prepared(df: DataFrame, key: str, fields: list[str], buckets: B.Buckets, lim
     label = R.first_column(df, ["LANGUAGE", "lang"], none.cast("string"))
     score = R.first_column(df, ["aesthetic_score", "aesthetic"], none.cast("double"))
     mark = next((n for n in ("watermark", "pwatermark") if n in df.columns), None)
-    with_parts = df.withColumn("captions", caption_list(df, fields, text_fn)).withColumn("bucket", B.nearest(width, height, buckets))
-    rules = [
-        ("language", R.language_drop(label, F.col(key), limits.language_probability, limits.wanted_language, limits.seed)),
-        ("resolution", R.resolution_drop(width, height, F.col("bucket"), limits.tolerance)),
-        ("caption", R.too_short(F.col("captions"), limits.least_tokens) | R.too_long(F.col("captions"), limits.most_tokens)),
-        ("score", R.score_drop(score, limits.least_score)),
-        ("watermark", R.watermark_drop(df, mark, limits.most_watermark) if mark else F.lit(False)),
-    ]
-    return with_parts.withColumn("drop_reason", R.drop_reason(rules))
+
+    def judged(p: Column) -> Column:
+        rules = [
+            ("language", R.language_drop(label, F.col(key), limits.language_probability, limits.wanted_language, limits.seed)),
+            ("resolution", R.resolution_drop(width, height, p["bucket"], limits.tolerance)),
+            ("caption", R.too_short(p["captions"], limits.least_tokens) | R.too_long(p["captions"], limits.most_tokens)),
+            ("score", R.score_drop(score, limits.least_score)),
+            ("watermark", R.watermark_drop(df, mark, limits.most_watermark) if mark else F.lit(False)),
+        ]
+        return F.struct(p["captions"].alias("captions"), p["bucket"].alias("bucket"), R.drop_reason(rules).alias("drop_reason"))
+
+    parts = F.struct(caption_list(df, fields, text_fn).alias("captions"), B.nearest(width, height, buckets).alias("bucket"))
+    kept = [c for c in df.columns if c not in ("captions", "bucket", "drop_reason")]
+    # made by a generator, so that captions and bucket are worked out once and no filter behind it is moved before it
+    return df.select(*kept, F.inline(F.transform(F.array(parts), judged)))
+
+
+def fetch_outcomes(df: DataFrame, buckets: B.Buckets, tolerance: float = 1.0, key: str = "pos", batch_size: int = 50) -> DataFrame:
+    """df with batch_no, and with bucket and drop_reason as they are once pictures have been fetched; df has what prepared and fetched give.
+
+    A record without a reason gets fetch_timeout, fetch_error or invalid_image by its status, resolution_post if the decoded picture is smaller than its
+    nearest bucket, or bucket_error if it has no bucket or could not be resized (status resize_error). batch_no counts batches of the position in key.
+    """
+    near = F.when(F.col("status") == "ok", B.nearest(F.col("decoded_width"), F.col("decoded_height"), buckets))
+
+    def judged(bucket: Column) -> Column:
+        by_status = F.when(F.col("status") == "timeout", "fetch_timeout").when(F.col("status") == "error", "fetch_error").when(F.col("status") == "invalid", "invalid_image").when(F.col("status") == "resize_error", "bucket_error")
+        late = F.when(bucket.isNull(), "bucket_error").when(B.too_small(F.col("decoded_width"), F.col("decoded_height"), bucket, tolerance), "resolution_post")
+        return F.struct(bucket.alias("bucket"), F.coalesce(F.col("drop_reason"), by_status, late).alias("drop_reason"))
+
+    kept = [F.col(c) for c in df.columns if c not in ("bucket", "drop_reason", "batch_no")]
+    return df.select(*kept, F.floor(F.col(key) / F.lit(batch_size)).alias("batch_no"), F.inline(F.transform(F.array(near), judged)))
+
+
+def encode_groups(df: DataFrame, encode: Callable[[pd.DataFrame], list], key: str) -> DataFrame:
+    """df with latents and drop_reason after encode has been called for the kept records of each batch and bucket, in the order of key; if a call fails, its whole group is dropped (encode_error).
+
+    encode gets the rows of a group, of which there are no more than a batch holds, and returns a list of values for each.
+    """
+    schema = T.StructType([f for f in df.schema.fields if f.name not in ("drop_reason", "latents")] + [T.StructField("drop_reason", T.StringType()), T.StructField("latents", T.ArrayType(T.DoubleType()))])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        rows = part.sort_values(key)
+        try:
+            return rows.assign(latents=list(encode(rows)), drop_reason=None)[schema.names]
+        except Exception:  # noqa: BLE001
+            return rows.assign(latents=None, drop_reason="encode_error")[schema.names]
+
+    dropped = df.where("drop_reason is not null")
+    empty = F.lit(None).cast("array<double>").alias("latents")
+    kept = df.where("drop_reason is null").withColumn("_bucket", F.col("bucket.bucket_id"))
+    done = kept.groupBy("batch_no", "_bucket").applyInPandas(lambda part: run(part.drop(columns="_bucket")), schema)
+    return done.unionByName(dropped.drop("latents").withColumn("latents", empty))
+
+
+def ordered(df: DataFrame, key: str, name: str = "place") -> DataFrame:
+    """df with places from 0 in the order of key: the input's order among the records that are left."""
+    return with_position(df, key, name)
 
 
 def survivors(df: DataFrame, key: str, encode: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -52,9 +52,9 @@ def p3_channel_means(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "precomputed").where("latents is not null")
     good = lambda i: F.get("latents", F.lit(i)).cast("double")
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    sums = [F.sum(sum((F.when(ok(good(i)), good(i)).otherwise(0.0) for i in range(4 * c, 4 * c + 4)), F.lit(0.0))).alias(f"s{c}") for c in range(16)]
-    counts = [F.sum(sum((F.when(ok(good(i)), 1).otherwise(0) for i in range(4 * c, 4 * c + 4)), F.lit(0))).alias(f"n{c}") for c in range(16)]
-    states = rows.groupBy("resolution_bucket_id").agg(*sums, *counts)
+    sums = {f"s{c}": F.sum(sum((F.when(ok(good(i)), good(i)).otherwise(0.0) for i in range(4 * c, 4 * c + 4)), F.lit(0.0))) for c in range(16)}
+    counts = {f"n{c}": F.sum(sum((F.when(ok(good(i)), 1).otherwise(0) for i in range(4 * c, 4 * c + 4)), F.lit(0))) for c in range(16)}
+    states = eager_join_aggregate(rows, table(spark, folder, "resolution_bucket"), "resolution_bucket_id", sums | counts, {}, how="left")
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(f"s{c}").alias("s"), F.col(f"n{c}").alias("n")) for c in range(16)])).alias("c")
     return states.select("resolution_bucket_id", pairs).where("c.n > 0").select("resolution_bucket_id", "c.channel", F.round(F.col("c.s") / F.col("c.n"), 6).alias("latent_mean"))
 

@@ -48,14 +48,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
+        _delete_at_end(df.sparkSession, context._jsc.sc().getCheckpointDir().get())  # a folder of this context's own
     return df.checkpoint(eager=True)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as a compressed table to the shared folder and read it from there, so that each later use reads only its columns; the table is deleted when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lumenloom.operators.algebra import place_in_group, with_position
 
@@ -51,32 +53,66 @@ def running_average(log: DataFrame, decay: float, step: str = "train_step", valu
     inside = Window.partitionBy(run, "block").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     summed = spots.withColumn("own", (1 - d) * F.pow(d, "j") * F.sum(F.col(value) * F.pow(d, -F.col("j"))).over(inside))
     blocks = summed.groupBy(run, "block").agg(F.max_by("own", "j").alias("own"), (F.max("j") + 1).alias("n"), F.min_by(value, "j").alias("first"))
-    lists = blocks.groupBy(run).agg(F.array_sort(F.collect_list(F.struct("block", "own", "n", "first"))).alias("bs"))
-    begun = F.struct(F.get("bs", F.lit(0))["first"].alias("carry"), F.array().cast("array<struct<block: bigint, carry: double>>").alias("out"))
-    passed = F.aggregate(
-        "bs",
-        begun,
-        lambda a, b: F.struct((F.pow(d, b["n"]) * a["carry"] + b["own"]).alias("carry"), F.concat(a["out"], F.array(F.struct(b["block"].alias("block"), a["carry"].alias("carry")))).alias("out")),
-        lambda a: a["out"],
-    )
-    carries = lists.select(run, F.explode(passed).alias("c")).select(run, "c.block", "c.carry")
+    run_type = log.schema[run].dataType.simpleString()
+
+    def pass_on(part: pd.DataFrame) -> pd.DataFrame:
+        # one row per block of steps, so in one pass whatever their number
+        rows = part.sort_values("block")
+        carry, out = rows["first"].iloc[0], []
+        for own, n in zip(rows["own"], rows["n"], strict=True):
+            out.append(carry)
+            carry = decay**n * carry + own
+        return rows[[run, "block"]].assign(carry=out)
+
+    carries = blocks.groupBy(run).applyInPandas(pass_on, f"{run} {run_type}, block long, carry double")
     joined = summed.join(carries, [run, "block"])
     return joined.select(run, step, value, (F.pow(d, F.col("j") + 1) * F.col("carry") + F.col("own")).alias("ema"))
 
 
 def running_average_stream(log: DataFrame, decay: float, value: str = "loss", step: str = "train_step", run: str = "run_name") -> DataFrame:
-    """run, step, ema as a stateful stream: one number of state per run, updated in the order of steps within each batch."""
+    """run, step, ema, late as a stateful stream: an average and its last step are the state of a run.
+
+    Steps of a batch are taken in their order. A step that is not behind the last one taken comes too late: it changes nothing and is returned with late, and the average as it stands.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ema = state.get[0] if state.exists else None
-        rows = pd.concat(list(parts)).dropna(subset=[value]).sort_values(step)
+        ema, last = state.get if state.exists else (None, None)
+        rows = pd.concat(list(parts)).dropna(subset=[value, step]).groupby(step, as_index=False)[value].mean().sort_values(step)
         out = []
         for s, v in zip(rows[step], rows[value], strict=True):
-            ema = v if ema is None else decay * ema + (1 - decay) * v
-            out.append((key[0], s, ema))
+            late = last is not None and s <= last
+            if not late:
+                ema, last = v if ema is None else decay * ema + (1 - decay) * v, int(s)
+            out.append((key[0], s, ema, late))
         if ema is not None:
-            state.update((float(ema),))
-        yield pd.DataFrame(out, columns=[run, step, "ema"])
+            state.update((float(ema), last))
+        yield pd.DataFrame(out, columns=[run, step, "ema", "late"])
+
+    return log.groupBy(run).applyInPandasWithState(update, f"{run} string, {step} long, ema double, late boolean", "ema double, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def keep_latest(counted: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Start a streaming aggregate (update mode) that writes what each batch changed to folder/changes, and its progress to folder/checkpoint; started again on the same folder it goes on where it stopped.
+
+    A batch is a partition of its own, written anew if it is repeated, so nothing counts twice. every names an interval ('10 seconds'); without it, all there is now is read.
+    """
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/changes/batch={number}")
+
+    writer = counted.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str], schema: StructType) -> DataFrame:
+    """What keep_latest has written so far: for each key the row of the last batch that changed it."""
+    changes = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/changes")
+    values = [c for c in schema.names if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_row")).select(*keys, "_row.*")
+
 
-    return log.groupBy(run).applyInPandasWithState(update, f"{run} string, {step} long, ema double", "ema double", "append", GroupStateTimeout.NoTimeout)
+def on_interval(stream: DataFrame, action: Callable[[DataFrame, int], None], folder: str, every: str | None = None) -> StreamingQuery:
+    """Start an action on each batch of a stream, at an interval or once for all there is; resumable from folder/checkpoint."""
+    writer = stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(action)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -102,17 +102,42 @@ def test_ranks_are_disjoint_and_batches_pure(spark):
 
 
 def test_weighted_schedule_is_the_sequential_one(spark):
-    counts = spark.createDataFrame([(0, 2), (1, 4), (2, 0)], "dataset_id int, n_batches long")
-    weights = spark.createDataFrame([(0, 0.5), (1, 0.5), (2, 9.0)], "dataset_id int, weight double")
-    got = [tuple(r) for r in batching.weighted_schedule(counts, weights).orderBy("slot").collect()]
-    u = [r[0] for r in spark.range(6).select(uniform(F.col("id"), 42)).collect()]
-    taken, want = {0: 0, 1: 0}, []
-    for slot, x in enumerate(u):
-        source = 0 if x < 0.5 else 1
-        n = (2, 4)[source]
-        want.append((slot, source, taken[source] // n, taken[source] % n))
-        taken[source] += 1
-    assert got == want
+    counts = spark.createDataFrame([(0, 2), (1, 4), (2, 0), (None, 3)], "dataset_id int, n_batches long")
+    weights = spark.createDataFrame([(7, 0, 0.5), (7, 1, 0.5), (7, 2, 9.0), (8, 1, 1.0), (9, 2, 1.0), (9, 0, 0.0)], "mix_id int, dataset_id int, weight double")
+    got = {(r[0], r[1]): tuple(r)[2:] for r in batching.weighted_schedule(counts, weights).collect()}
+    assert {k[0] for k in got} == {7, 8} and len(got) == 18  # nine slots for each mix that has a source
+    u = {(r[0], r[1]): r[2] for r in spark.range(9).join(spark.createDataFrame([(7,), (8,)], "m int")).select("m", "id", uniform(F.concat_ws(":", F.col("m").cast("string"), F.col("id").cast("string")), 42)).collect()}
+    for mix in (7, 8):
+        taken, order = {0: 0, 1: 0}, {}
+        for slot in range(9):
+            source = 1 if mix == 8 or u[mix, slot] >= 0.5 else 0
+            n = (2, 4)[source]
+            s, pass_no, batch = got[mix, slot]
+            assert (s, pass_no) == (source, taken[source] // n)
+            order.setdefault((source, pass_no), []).append(batch)
+            taken[source] += 1
+        for (source, _), batches in order.items():  # a pass takes each batch once
+            assert len(set(batches)) == len(batches) and set(batches) <= set(range((2, 4)[source]))
+    many = spark.createDataFrame([(0, 40), (1, 400)], "dataset_id int, n_batches long")
+    orders = {}
+    for r in batching.weighted_schedule(many, spark.createDataFrame([(1, 0, 0.9), (1, 1, 0.1)], "mix_id int, dataset_id int, weight double")).orderBy("slot").collect():
+        orders.setdefault((r["dataset_id"], r["pass_no"]), []).append(r["batch_no"])
+    assert sorted(orders[0, 0]) == sorted(orders[0, 1]) == list(range(40)) and orders[0, 0] != orders[0, 1]
+    assert batching.weighted_schedule(counts.limit(0), weights).count() == 0
+
+
+def test_epochs_shuffle_rows_and_batches(spark):
+    rows = spark.range(100).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("bucket"))
+    epochs = [{r["row_id"]: (r["bucket"], r["batch_no"]) for r in batching.epoch_batches(rows, ["bucket"], "row_id", 8, e).collect()} for e in (0, 1)]
+    assert epochs[0] != epochs[1] and all(len(e) == 3 * 32 for e in epochs)
+    again = {r["row_id"]: (r["bucket"], r["batch_no"]) for r in batching.epoch_batches(rows.repartition(5), ["bucket"], "row_id", 8, 0).collect()}
+    assert again == epochs[0]
+    assert batching.epoch_batches(rows, ["bucket"], "row_id", 8, 0, drop_last=False).count() == 100
+    batches = batching.epoch_batches(rows, ["bucket"], "row_id", 8, 0).select("bucket", "batch_no").distinct()
+    orders = [[tuple(r)[:2] for r in batching.batch_order(batches, ["bucket", "batch_no"], e).orderBy("order_no").collect()] for e in (0, 1)]
+    assert orders[0] != orders[1] and set(orders[0]) == set(orders[1])
+    lists = batching.index_lists(rows.withColumnRenamed("row_id", "pos"), "bucket", "pos", size=10).orderBy("bucket", "part_no").collect()
+    assert [len(r["positions"]) for r in lists] == [10, 10, 10, 4, 10, 10, 10, 3, 10, 10, 10, 3] and lists[0]["positions"][:2] == [0, 3]
 
 
 def test_dropout_keeps_one(spark):
@@ -239,3 +264,113 @@ def test_names(spark):
     assert _one(spark, T.location_parts(F.lit("hf://a/b"), "hf://")) is None
     assert _one(spark, T.step_name(F.lit(42))) == "step_000042"
     assert [_one(spark, T.block_of(F.lit(k), "blocks")) for k in ("module.blocks.7.w", "blocks.x.w", "other.7")] == [7, None, None]
+
+
+def test_fetches_end_in_a_status(spark):
+    import time
+
+    def fetch(url):
+        if url == "late":
+            raise TimeoutError(url)
+        if url == "slow":
+            time.sleep(3)
+        if url == "broken":
+            raise OSError(url)
+        return None if url == "nothing" else url.encode()
+
+    def decode(content):
+        if content == b"text":
+            raise ValueError("no picture")
+        return 300, 200
+
+    rows = spark.createDataFrame([(i, u, "x") for i, u in enumerate(["late", "slow", "broken", "nothing", "text", "good", None])], "i int, url string, status string")
+    got = {r["i"]: (r["status"], r["decoded_width"]) for r in readers.fetched(rows, "url", fetch, decode, seconds=1.0).collect()}
+    assert got == {0: ("timeout", None), 1: ("timeout", None), 2: ("error", None), 3: ("invalid", None), 4: ("invalid", None), 5: ("ok", 300), 6: ("invalid", None)}
+    assert readers.fetched(rows.limit(0), "url", fetch).count() == 0
+
+
+def test_outcomes_of_fetching_and_encoding(spark):
+    b = "struct<bucket_id: int>"
+    rows = spark.createDataFrame(
+        [(0, None, "timeout", None, None), (1, None, "error", None, None), (2, None, "invalid", None, None), (3, None, "ok", 90, 90), (4, None, "ok", 0, 90), (5, None, "resize_error", 300, 300), (6, "language", "ok", 300, 300), (7, None, "ok", 300, 300), (60, None, "ok", 300, 300), (61, None, "ok", 300, 300)],
+        "pos long, drop_reason string, status string, decoded_width int, decoded_height int",
+    ).withColumn("bucket", F.lit(None).cast(b))
+    out = prepare.fetch_outcomes(rows, {1: (256, 256)}, 1.0)
+    want = ["fetch_timeout", "fetch_error", "invalid_image", "resolution_post", "bucket_error", "bucket_error", "language", None, None, None]
+    assert [r["drop_reason"] for r in out.orderBy("pos").collect()] == want
+
+    def encode(part):
+        if len(part) > 1:
+            raise RuntimeError("too many")
+        return [[1.0, 2.0]]
+
+    encoded = prepare.encode_groups(out, encode, "pos")
+    assert {r["pos"]: (r["drop_reason"], r["latents"]) for r in encoded.where("pos in (6, 7, 60, 61)").collect()} == {6: ("language", None), 7: (None, [1.0, 2.0]), 60: ("encode_error", None), 61: ("encode_error", None)}
+    report = {(r["batch_no"], r["reason"]): r["n_rows"] for r in filters.drop_report(encoded, by=["batch_no"]).collect()}
+    assert report[1, "encode_error"] == 2 and report[0, "kept"] == 1 and sum(report.values()) == 10
+    assert [tuple(r) for r in prepare.ordered(encoded.where("drop_reason is null"), "pos").select("place", "pos").collect()] == [(0, 7)]
+
+
+def test_solver_of_batches(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [4.0])], "i int, x array<double>")
+    times = [k / 100 for k in range(101)]
+    got = {r["i"]: r["solved"] for r in K.solved(rows, "x", lambda x, t: -x, times, "heun").collect()}
+    assert got[1] == pytest.approx([math.exp(-1), 2 * math.exp(-1)], rel=1e-4) and got[2] is None and got[3] == pytest.approx([4 * math.exp(-1)], rel=1e-4)
+    states = K.solved(rows, "x", lambda x, t: 3.0 + 0 * x, [0.0, 0.5, 1.0], lambda x, t, dt, f: x + dt * f(x, t), intermediates=True).where("i = 3").first()["solved"]
+    assert states == [[4.0], [5.5], [7.0]]
+    with pytest.raises(ValueError):
+        K.solved(rows, "x", lambda x, t: x, [0.0, 1.0], "midpoint")
+
+
+def test_wide_vectors(spark):
+    random = np.random.default_rng(1)
+    a, b = random.normal(size=(40, 2048)), random.normal(0.1, 1, size=(45, 2048))
+    frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>")
+    n, mean, cov = evaluate.gaussian(frame(a), "v")
+    assert n == 40 and np.allclose(mean, a.mean(0)) and np.allclose(cov, np.cov(a.T))
+    with pytest.raises(Exception, match="too wide"):
+        evaluate.kernel_distance(frame(a), frame(b), "v")
+    k = lambda x, y: (x @ y.T / 2048 + 1) ** 3
+    off = lambda m: (m.sum() - np.trace(m)) / (len(m) * (len(m) - 1))
+    got = evaluate.kernel_distance_subsets(frame(a[:20]), frame(b[:20]), "i", "v", size=50, subsets=3).first()
+    assert got["size"] == 20 and got["mean"] == pytest.approx(off(k(a[:20], a[:20])) + off(k(b[:20], b[:20])) - 2 * k(a[:20], b[:20]).mean()) and got["std"] == pytest.approx(0, abs=1e-12)
+    assert evaluate.kernel_distance_subsets(frame(a[:1]), frame(b), "i", "v").first()["mean"] is None
+
+
+def test_streams_go_on_where_they_stopped(spark, tmp_path):
+    schema = "run_name string, train_step long, dataset_id int, n_samples int"
+    source, place = str(tmp_path / "log"), str(tmp_path / "state")
+    write = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    counted = lambda: telemetry.interval_counts_stream(spark.readStream.schema(schema).parquet(source), 10)
+    read = lambda: sorted(tuple(r) for r in telemetry.latest(spark, place, ["run_name", "interval_no", "dataset_id"], counted().schema).collect())
+    write([("a", 1, 0, 5), ("a", 11, 0, 7)])
+    telemetry.keep_latest(counted(), place).awaitTermination()
+    assert read() == [("a", 0, 0, 5), ("a", 1, 0, 7)]
+    write([("a", 2, 0, 1), ("b", 3, 1, 2)])
+    telemetry.keep_latest(counted(), place).awaitTermination()  # a new query on the old folder
+    assert read() == [("a", 0, 0, 6), ("a", 1, 0, 7), ("b", 0, 1, 2)]
+    telemetry.keep_latest(counted(), place).awaitTermination()  # nothing new: nothing counts twice
+    assert read() == [("a", 0, 0, 6), ("a", 1, 0, 7), ("b", 0, 1, 2)]
+
+
+def test_shared_folder(spark):
+    from lumenloom.session import shared_folder, written
+
+    assert shared_folder(spark)
+    back = written(spark.range(5).withColumn("x", F.array("id")))
+    assert sorted(r["x"][0] for r in back.collect()) == [0, 1, 2, 3, 4]
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster())
+
+
+def test_buckets_may_be_strict(spark):
+    with pytest.raises(Exception, match="no bucket"):
+        spark.range(1).select(buckets.nearest(F.lit(0), F.lit(5), {1: (2, 1)}, strict=True)).collect()
