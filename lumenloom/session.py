@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,8 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this application's own when it ends."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    url = urlparse(path)
+    if url.scheme in ("", "file"):  # the JVM of a session that is not stopped ends without its hooks
+        atexit.register(shutil.rmtree, url.path, ignore_errors=True)
 
 
 def written(df: DataFrame) -> DataFrame:
