@@ -28,6 +28,7 @@ def local_session(name: str = "lumenloom", cores: str | int = "*", shuffle_parti
 
 
 _OWN: list[str] = []
+_DELETED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,7 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
-        _delete_at_end(df.sparkSession, context._jsc.sc().getCheckpointDir().get())  # a folder of this context's own
+    own = context._jsc.sc().getCheckpointDir().get()  # a folder of this context's own
+    if own not in _DELETED:
+        _DELETED.add(own)
+        _delete_at_end(df.sparkSession, own)
     return df.checkpoint(eager=True)
 
 
