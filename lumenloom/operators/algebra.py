@@ -60,6 +60,8 @@ def place_by(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name
     """
     key = F.struct(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], *[c.alias(f"_o{i}") for i, c in enumerate(order)])
     placed = with_position(df.withColumn("_key", key), "_key", "_pos").drop("_key")
+    if not groups:
+        return placed.withColumnRenamed("_pos", name)
     firsts = placed.groupBy(*groups).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_count"))
     coded = [F.coalesce(F.col(g).cast("string"), F.lit("\x00")) for g in groups]
     one = firsts.select(F.concat_ws("\x01", *coded).alias("_group"), "_first", "_count")

@@ -33,6 +33,16 @@ def join_hot_keys_apart(many: DataFrame, one: DataFrame, keys: Sequence[str], co
     return salted.join(spread, [*keys, "_salt"], how).select(*many.columns, *value_cols)
 
 
+def join_members(members: DataFrame, other: DataFrame, keys: Sequence[str], size_col: str, member: str, rows: int = ROWS_OF_A_KEY) -> DataFrame:
+    """Inner join of the members of groups to rows that name a group, where both may have many rows of a key; both tell in size_col how many members a group has.
+
+    Members of a large group are spread over ceil(size / rows) tasks by a hash of the column member, and rows of other are repeated in each. size_col is left out.
+    """
+    parts = F.ceil(F.col(size_col) / F.lit(rows)).cast("int")
+    spread = members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop(size_col)
+    return spread.join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop(size_col), [*keys, "_salt"]).drop("_salt")
+
+
 def salted_aggregate(df: DataFrame, keys: Sequence[str], partials: dict[str, Column], finals: dict[str, Column], salts: int = 32) -> DataFrame:
     """Aggregate in two steps, first by key and salt, then by key, for aggregates that Spark cannot combine before its shuffle.
 

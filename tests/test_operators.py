@@ -195,6 +195,10 @@ def test_skew(spark):
         got = skew.join_hot_keys_apart(many, one, ["k"], "n", rows=hot)
         assert got.count() == 51 and got.where("w = 'a'").count() == 50
         assert skew.join_hot_keys_apart(many, one, ["k"], "n", how="left", rows=hot).count() == 53
+    names = spark.createDataFrame([(1, 50, "a"), (1, 50, "b"), (2, 1, "c"), (9, 1, "d")], "k int, n int, w string")
+    for rows in (7, 100):
+        met = skew.join_members(many.join(one.select("k", "n"), "k"), names, ["k"], "n", "v", rows=rows)
+        assert met.columns == ["k", "v", "w"] and met.count() == 101 and met.distinct().count() == 101
     right = spark.createDataFrame([(1, 10), (1, 20), (4, 1)], "k int, s int")
     joined = skew.eager_join_aggregate(many, right, "k", {"v_sum": F.sum("v")}, {"s_sum": F.sum("s")}).collect()
     plain = many.join(right, "k").groupBy("k").agg(F.count("*"), F.sum("v"), F.sum("s")).collect()
