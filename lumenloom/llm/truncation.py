@@ -1,6 +1,6 @@
 """Texts that were cut off before their end (problem 5).
 
-The corpus gives its vocabulary, as a trie whose nodes are a table (prefix, known words below it), and what its whole sentences
+The corpus gives its vocabulary, as a trie kept in sorted order, and what its whole sentences
 look like: how each opening of two words goes on to end. A text without a final stop is held against both. It is cut if
 
 * its final token is unknown and a proper prefix of known words, or a broken character ends it,
@@ -22,7 +22,7 @@ import re
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenloom.llm.overlap import _Hashes
@@ -34,6 +34,8 @@ from lumenloom.session import cut_lineage
 KNOWN, RARE = 2, 30
 #: An opening tells something about sentence ends from so many whole sentences on.
 TELLING = 5
+#: Words up to which a text without a stop may be a title, and from which on it is running text in any case.
+SHORT, LONG = 8, 12
 #: A length is a field limit if so many times more texts without a stop have it than a neighbouring length, and such a share of all of them.
 SPIKE, SPIKE_SHARE = 4.0, 0.003
 
@@ -108,7 +110,7 @@ def _scan(df: DataFrame, id_col: str, column: str, source: str) -> DataFrame:
                     final = None
                     for k, (piece, whole) in enumerate(pieces):
                         tokens = _TOKEN.findall(piece)
-                        commas = min(len(_COMMA.findall(piece)), 4)
+                        commas = len(_COMMA.findall(piece))
                         is_final = k == len(pieces) - 1 and not ended
                         words.update(tokens[:-1] if is_final else tokens)
                         if is_final:
@@ -123,7 +125,7 @@ def _scan(df: DataFrame, id_col: str, column: str, source: str) -> DataFrame:
                     single = len(pieces) == 1
                     quoted = single and text.strip()[:1] in "\"'“„«「『" and len(bare) < len(text.rstrip())
                     opening, k2, k3, k4 = _sentence(tokens, known, commas)
-                    if single and (quoted or len(tokens) <= 8 and not broken and not marked):
+                    if single and (quoted or len(tokens) <= SHORT and not broken and not marked):
                         count(5, opening, len(tokens))
                     if quoted or single and len(tokens) < 3:
                         continue
@@ -137,11 +139,17 @@ def _scan(df: DataFrame, id_col: str, column: str, source: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(id_col, source, column).mapInArrow(scan, ddl)
 
 
-def _trie(words: DataFrame) -> DataFrame:
-    """prefix, below: the nodes of the trie of known words, with the number of words of which each is a proper prefix."""
-    known = words.where(F.col("n") >= KNOWN)
-    nodes = known.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("prefix"), "word").where("length(word) > 1")
-    return nodes.groupBy("prefix").agg(F.count(F.lit(1)).alias("below"))
+def _trie(words: DataFrame, last: DataFrame) -> DataFrame:
+    """word, inner: whether each final token is a proper prefix of a known word.
+
+    A sorted vocabulary is a trie: what begins with a token stands right behind it, so it is an inner node if its successor begins with it. No prefix is ever written
+    out, so a very long word costs no more than itself. Sorted by first letter, which every word behind a token shares with it.
+    """
+    known = words.where(F.col("n") >= KNOWN).select("word", F.lit(True).alias("known"))
+    both = known.unionByName(last.select("word", F.lit(False).alias("known"))).withColumn("_letter", F.substring("word", 1, 1))
+    behind = Window.partitionBy("_letter").orderBy(F.col("word").desc(), "known").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follower = both.withColumn("_next", F.last(F.when(F.col("known"), F.col("word")), ignorenulls=True).over(behind)).where("not known")
+    return follower.select("word", F.coalesce(F.startswith("_next", "word") & (F.col("_next") != F.col("word")), F.lit(False)).alias("inner"))
 
 
 def judged(df: DataFrame, id_col: str = "row_id", column: str = "captions", source: str = "dataset_id") -> DataFrame:
@@ -152,10 +160,10 @@ def judged(df: DataFrame, id_col: str = "row_id", column: str = "captions", sour
     texts = scanned.where("kind = 9").select("id", "no", "source", "word", F.col("key").alias("k1"), "k2", "k3", "k4", "tokens", "single", "broken", "marked", "length")
 
     last = texts.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    tokens = last.join(words.select("word", "n"), "word", "left").join(_trie(words).withColumnRenamed("prefix", "word"), "word", "left")
-    token_facts = tokens.select("word", "uses", F.coalesce("n", F.lit(0)).alias("known"), F.coalesce("below", F.lit(0)).alias("below"))
+    tokens = last.join(words.select("word", "n"), "word", "left").join(_trie(words, last), "word", "left")
+    token_facts = tokens.select("word", "uses", F.coalesce("n", F.lit(0)).alias("known"), F.coalesce(F.col("inner").cast("int"), F.lit(0)).alias("below"))
 
-    by_length = texts.where("not single or tokens > 8").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    by_length = texts.where(f"not single or tokens > {SHORT}").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     around = by_length.select(F.explode(F.array(*[F.col("length") + k for k in (-4, -3, -2, -1, 1, 2, 3, 4)])).alias("length"), "n").groupBy("length").agg((F.sum("n") / 8).alias("near"))
     enough = F.greatest(F.lit(4.0), SPIKE_SHARE * by_length.agg(F.sum("n")).scalar())
     spikes = by_length.join(around, "length", "left").where((F.col("n") >= enough) & (F.col("n") >= SPIKE * F.coalesce("near", F.lit(0)))).select("length", F.col("n").alias("spike"))
@@ -168,14 +176,15 @@ def judged(df: DataFrame, id_col: str = "row_id", column: str = "captions", sour
     facts = join_hot_keys_apart(texts.drop("k1", "k2", "k3", "k4"), token_facts, ["word"], "uses", how="left")
     facts = facts.join(spikes, "length", "left").join(found, ["id", "no"], "left").fillna(0, ["openings", "longest", "ends", "endings", "pairs", "titles", "spike"])
 
-    running = "(not single or openings >= 3 and openings > titles or openings + titles < 3 and tokens > 8 or broken or marked or tokens > 12)"
+    running = f"(not single or openings >= 3 and openings > titles or openings + titles < 3 and tokens > {SHORT} or broken or marked or tokens > {LONG})"
     piece = f"known < {KNOWN} and below > 0"
     merged = f"(openings < {TELLING} or tokens > longest)"
     ends = f"(ends > 0 or known < {RARE} and known >= {KNOWN} and endings > 1)"
     untold = f"openings < {TELLING} and pairs = 0 and known < {KNOWN} and below = 0"
-    limit = "(spike > 0 and (not single or tokens > 8))"
+    limit = f"(spike > 0 and (not single or tokens > {SHORT}))"
     cut = f"{running} and (broken or {limit} or case when {piece} then true when {untold} then marked when {merged} then pairs = 0 else not {ends} end)"
-    return facts.select(F.col("id").alias(id_col), F.col("no").alias("caption_no"), F.col("source").alias(source), F.expr(cut).alias("cut"), "word", "known", "below", "openings", "titles", "longest", "ends", "endings", "pairs", "tokens", "single", "broken", "marked", "length", "spike")
+    why = f"case when {piece} then 'prefix' when broken then 'broken' when {limit} then 'length' else 'ending' end"
+    return facts.select(F.col("id").alias(id_col), F.col("no").alias("caption_no"), F.col("source").alias(source), F.expr(cut).alias("cut"), F.expr(why).alias("evidence"), "word", "known", "below", "openings", "titles", "longest", "ends", "endings", "pairs", "tokens", "single", "broken", "marked", "length", "spike")
 
 
 def cut_texts(df: DataFrame, id_col: str = "row_id", column: str = "captions", source: str = "dataset_id") -> DataFrame:
