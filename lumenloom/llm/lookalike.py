@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.textform import LOOKALIKES, TO_LATIN, compatible, script
-from lumenloom.session import cut_lineage
+from lumenloom.operators.skew import join_hot_keys_apart, join_members
+from lumenloom.session import written
 
 #: Code points below this bound hold all letters of the three scripts with look-alikes; the bigram table is at most its square.
 ALPHABET = 0x530
@@ -140,8 +141,8 @@ def normalise(df: DataFrame, column: str, keep: list[str]) -> DataFrame:
 def lookalike_pairs(df: DataFrame, id_col: str = "row_id", column: str = "captions") -> DataFrame:
     """<id>_a, <id>_b: pairs of rows whose lists look the same, caption by caption, and differ in at least one character.
 
-    Rows are grouped by two 64-bit hashes of the consistent form; only forms met in more than one spelling are paired, so any
-    number of plain copies costs nothing. Null captions equal null captions at the same position. Rows without a non-blank
+    Rows are grouped by two 64-bit hashes of the consistent form; only forms met in more than one spelling go on, so any
+    number of plain copies costs nothing. Spellings are paired, and only then expanded to their rows, large spellings in parts. Null captions equal null captions at the same position. Rows without a non-blank
     caption take no part. Rows with a null id give no pairs.
     """
     with_raw = df.where(F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]"))).select(F.col(id_col), F.col(column), F.col(column).alias("_raw"))
@@ -161,8 +162,15 @@ def lookalike_pairs(df: DataFrame, id_col: str = "row_id", column: str = "captio
         .mapInArrow(rewrite, f"{id_col} {id_type}, form string, raw string")
         .select(id_col, F.xxhash64("form").alias("f1"), F.xxhash64(F.lit(7), "form").alias("f2"), F.xxhash64("raw").alias("r"))
     )
-    hashed = cut_lineage(hashed)
-    varied = hashed.groupBy("f1", "f2").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("f1", "f2")
-    some = hashed.join(varied, ["f1", "f2"], "left_semi")
-    a, b = some.select("f1", "f2", F.col(id_col).alias(f"{id_col}_a"), F.col("r").alias("ra")), some.select("f1", "f2", F.col(id_col).alias(f"{id_col}_b"), F.col("r").alias("rb"))
-    return a.join(b, ["f1", "f2"]).where((F.col(f"{id_col}_a") < F.col(f"{id_col}_b")) & (F.col("ra") != F.col("rb"))).select(f"{id_col}_a", f"{id_col}_b")
+    hashed = written(hashed)
+    # spellings of a form with the number of their rows; forms with one spelling go no further
+    spelt = hashed.groupBy("f1", "f2", "r").agg(F.count(F.lit(1)).alias("size"))
+    varied = spelt.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("spellings"), F.sum("size").alias("rows")).where("spellings > 1")
+    some = written(join_hot_keys_apart(hashed, varied, ["f1", "f2"], "rows").select("f1", "f2", "r", id_col))
+    kept = written(some.groupBy("f1", "f2", "r").agg(F.count(F.lit(1)).alias("size")))
+    x, y = (kept.select("f1", "f2", F.col("r").alias(f"r{k}"), F.col("size").alias(f"s{k}")) for k in "xy")
+    pairs = x.join(y, ["f1", "f2"]).where("rx < ry")
+    members = join_hot_keys_apart(some, kept, ["f1", "f2", "r"], "size")
+    met = join_members(members.withColumnRenamed(id_col, "i"), pairs.select("f1", "f2", F.col("rx").alias("r"), F.col("sx").alias("size"), "ry", "sy"), ["f1", "f2", "r"], "size", "i")
+    both = join_members(members.withColumnRenamed(id_col, "j"), met.select("f1", "f2", F.col("ry").alias("r"), F.col("sy").alias("size"), "i"), ["f1", "f2", "r"], "size", "j")
+    return both.where("i <> j").select(F.least("i", "j").alias(f"{id_col}_a"), F.greatest("i", "j").alias(f"{id_col}_b"))

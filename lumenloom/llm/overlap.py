@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenloom.llm.textform import words
-from lumenloom.operators.skew import ROWS_OF_A_KEY, join_hot_keys_apart
+from lumenloom.operators.skew import join_hot_keys_apart, join_members
 from lumenloom.session import written
 
 #: Largest share of words that may be changed, added or missing; k = (n - 1) // EDIT_IN edits follow from it.
@@ -517,12 +517,6 @@ class Overlaps:
         return self.members(self.side("b", "eval"), ~F.col("train")).select(self.id).distinct()
 
 
-def _meet(members: DataFrame, other: DataFrame, member: str, rows: int = ROWS_OF_A_KEY) -> DataFrame:
-    """Join on their key of members of classes to rows that name a class; both have its size. Members of a large class are spread over tasks by a hash, and rows of other are repeated in each."""
-    parts = F.ceil(F.col("size") / F.lit(rows)).cast("int")
-    return members.withColumn("_salt", F.pmod(F.xxhash64(member), parts).cast("int")).drop("size").join(other.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("size"), ["k1", "k2", "_salt"])
-
-
 def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train", few: int = FEW) -> DataFrame:
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
     o = Overlaps(df, id_col, split, column, latents, train, few)
@@ -531,8 +525,8 @@ def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_
     of = lambda name, kept: [F.col(f"k{name}1").alias("k1"), F.col(f"k{name}2").alias("k2"), F.col(f"n{name}").alias("size"), *kept]
     mixed = o.groups.where("n_train > 0 and n_eval > 0").select(F.col("k1").alias("ka1"), F.col("k2").alias("ka2"), F.col("k1").alias("kb1"), F.col("k2").alias("kb2"), F.col("n_train").alias("na"), F.col("n_eval").alias("nb"))
     links = o.links.drop("shared").union(mixed)
-    met = _meet(y, links.select(*of("b", ["ka1", "ka2", "na"])), "y")
-    pairs = _meet(x, met.select(*of("a", ["y"])), "x")
+    met = join_members(y, links.select(*of("b", ["ka1", "ka2", "na"])), ["k1", "k2"], "size", "y")
+    pairs = join_members(x, met.select(*of("a", ["y"])), ["k1", "k2"], "size", "x")
     return pairs.where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).distinct()
 
 
