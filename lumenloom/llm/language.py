@@ -10,6 +10,7 @@ The sample holds at most SAMPLE_ROWS rows per language, chosen by a hash of the
 (wrong labels) are left out of the second. Every row of the data is scored, with all its text.
 
 Null and empty captions have no segments; rows without a segment that is a running sentence get no language. Null ids are kept as they are; rows that share an id are one record.
+A segment whose best score is below OTHER is in none of the languages: "other" among segments, and no evidence for its record.
 An input without a single labelled sentence cannot be fitted and gives null languages.
 """
 
@@ -30,6 +31,10 @@ SPELLINGS = {
 NOTHING = ("", "und", "unknown", "n/a", "na", "none", "null", "mul", "zxx", "mis", "?", "-")
 
 SAMPLE_ROWS, LANDMARKS, RIDGE = 120, 40, 0.05
+#: Captions and letters of a sampled row that the fit reads.
+SAMPLE_CAPTIONS, SAMPLE_LETTERS = 16, 4000
+#: Score of a segment, between -1 and 1 for what the fit has seen, below which it is in none of the languages.
+OTHER = -0.3
 BITS = 12
 DIMS = 1 << BITS
 BLOCK = 512
@@ -166,13 +171,13 @@ def fit(sample: list[tuple[str, list[str]]], seed: int = 0) -> np.ndarray | None
 
 
 def classify(segments: Segments, only: np.ndarray, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Language number and confidence of each of the segments in only."""
+    """Language number, -1 for none of them, and confidence of each of the segments in only."""
     best, sure = np.zeros(len(only), dtype=np.int64), np.zeros(len(only))
     at = 0
     for part, block in segments.presence(only):
         scores = (block @ matrix[:-1]) / np.sqrt(np.maximum(block.sum(1, keepdims=True), 1)) + matrix[-1]
         e = np.exp(4 * (scores - scores.max(1, keepdims=True)))
-        best[at : at + len(part)] = scores.argmax(1)
+        best[at : at + len(part)] = np.where(scores.max(1) < OTHER, -1, scores.argmax(1))
         sure[at : at + len(part)] = 1 / e.sum(1)
         at += len(part)
     return best, sure
@@ -189,7 +194,9 @@ def labelled_sample(df: DataFrame, id_col: str, label: str, column: str, rows: i
     for language, n in counts.items():
         limit = F.lit(min(1 << 40, int((1 << 40) * 2 * rows / n)))
         cut = F.when(F.col("_language") == language, limit) if cut is None else cut.when(F.col("_language") == language, limit)
-    found = named.where(u < cut).select("_language", u.alias("u"), F.col(id_col).alias("i"), F.filter(column, lambda c: c.isNotNull()).alias("texts")).where("texts is not null")
+    # the fit reads the beginning of very long texts only; what is scored is always whole
+    texts = F.transform(F.slice(F.filter(column, lambda c: c.isNotNull()), 1, SAMPLE_CAPTIONS), lambda c: F.substring(c, 1, SAMPLE_LETTERS))
+    found = named.where(u < cut).select("_language", u.alias("u"), F.col(id_col).alias("i"), texts.alias("texts")).where("texts is not null")
     by: dict[str, list] = {}
     for r in sorted(found.limit(len(LANGUAGES) * rows * 4).collect(), key=lambda r: (r["u"], r["i"])):
         by.setdefault(r["_language"], []).append((r["_language"], list(r["texts"])))
@@ -225,7 +232,7 @@ def segment_languages(df: DataFrame, id_col: str = "row_id", label: str = "lang"
                     pa.array(only - first[text] + 1, pa.int32()),
                     pa.array(s.letters[only], pa.int64()),
                     pa.array(s.whole[only]),
-                    pa.nulls(len(only), pa.string()) if best is None else pa.array(np.array(LANGUAGES, dtype=object)[best], pa.string()),
+                    pa.nulls(len(only), pa.string()) if best is None else pa.array(np.array([*LANGUAGES, "other"], dtype=object)[best], pa.string()),
                     pa.nulls(len(only), pa.float64()) if sure is None else pa.array(np.round(sure, 6)),
                 ],
                 [id_col, "caption_no", "segment_no", "n_letters", "whole", "language", "confidence"],
@@ -254,6 +261,7 @@ def row_languages(df: DataFrame, id_col: str = "row_id", label: str = "lang", co
             if matrix is None or not len(only):
                 continue
             best, sure = classify(s, only, matrix)
+            only, best, sure = only[best >= 0], best[best >= 0], sure[best >= 0]
             at = row[s.text[only]] * k + best
             size = s.letters[only] + s.han[only]  # a Han or kana character says as much as two letters
             letters = np.bincount(at, weights=size * np.where(kind[only] == 2, 1.0, 0.5), minlength=n * k).reshape(n, k)
