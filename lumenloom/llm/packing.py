@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OPEN = 64
+#: Share of the space of closed bins that is used at least.
+GOOD_FILL = 0.95
 #: Name of a tokenizer file in the folder of public tokenizers.
 TOKENIZER = "byte_bpe_50k.tiktoken"
 
@@ -95,11 +97,12 @@ def pack(documents: DataFrame, containers: DataFrame, id_col: str = "doc_id", te
     id_type, name_type = documents.schema[id_col].dataType.simpleString(), containers.schema[name].dataType.simpleString()
 
     def fill(batches):
-        encode = tokenizer(tokenizer_path).encode_ordinary
+        encode = tokenizer(tokenizer_path).encode_ordinary_batch
         first = TaskContext.get().partitionId() << 40
         bins = [Bins(c, most) for _, c in specs]
         for batch in batches:
-            sizes = [len(encode(t)) if t else 0 for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            sizes = [len(t) for lo in range(0, len(texts), 100) for t in encode([t or "" for t in texts[lo : lo + 100]], num_threads=1)]
             for k, (label, _) in enumerate(specs):
                 placed = [(row, *p) for row, size in enumerate(sizes) for p in bins[k].place(size)]
                 rows = np.array(placed, dtype=np.int64).reshape(-1, 4)
@@ -111,6 +114,20 @@ def pack(documents: DataFrame, containers: DataFrame, id_col: str = "doc_id", te
     return documents.select(id_col, text).mapInArrow(fill, f"{name} {name_type}, bin_id long, {id_col} {id_type}, first_token long, n_tokens int")
 
 
+def placement_report(packed: DataFrame, containers: DataFrame, id_col: str = "doc_id", name: str = "container_name", capacity: str = "capacity_tokens") -> DataFrame:
+    """<name>, n_documents, n_overfull (bins with more than their capacity), n_broken (documents of which a token is missing, stands twice or was split without need), well_filled (whether bins are full to GOOD_FILL but for those that a task leaves open)."""
+    size = containers.select(name, capacity)
+    pieces = packed.groupBy(name, id_col).agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count_distinct("first_token").alias("starts"), F.sum(F.when(F.col("first_token") == 0, 1).otherwise(0)).alias("heads"))
+    # the pieces of a document that exceeds the capacity are full but for the last one
+    need = F.ceil(F.col("n") / F.col(capacity))
+    broken = (F.col("n") != F.col("end")) | (F.col("k") != need) | (F.col("starts") != F.col("k")) | (F.col("heads") != 1)
+    documents = pieces.join(size, name).groupBy(name).agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(broken).alias("n_broken"))
+    bins = packed.groupBy(name, "bin_id").agg(F.sum("n_tokens").alias("used")).join(size, name)
+    closed = bins.groupBy(name).agg(F.count_if(F.col("used") > F.col(capacity)).alias("n_overfull"), F.sum("used").alias("used"), F.count(F.lit(1)).alias("n_bins"), F.first(capacity).alias("c"), F.count_distinct(F.shiftright("bin_id", 40)).alias("tasks"))
+    good = F.col("used") >= GOOD_FILL * F.col("c") * (F.col("n_bins") - OPEN * F.col("tasks"))
+    return documents.join(closed, name).select(name, "n_documents", "n_overfull", "n_broken", good.alias("well_filled"))
+
+
 def fill_report(packed: DataFrame, containers: DataFrame, name: str = "container_name", capacity: str = "capacity_tokens") -> DataFrame:
     """<name>, n_bins, n_pieces, n_tokens, fill: how full the containers of each kind are."""
     bins = packed.groupBy(name, "bin_id").agg(F.sum("n_tokens").alias("used"), F.count(F.lit(1)).alias("pieces"))

@@ -74,6 +74,12 @@ def p5_rates(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.cut_rates(table(spark, folder, "precomputed"))
 
 
+def p5_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    """Cut texts by what speaks for each first: a prefix of a known word, a broken character, a field limit, how whole sentences end."""
+    found = truncation.judged(table(spark, folder, "precomputed")).where("cut")
+    return found.groupBy("evidence").agg(F.count(F.lit(1)).alias("n_cut"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.wrong_labels(table(spark, folder, "precomputed"))
 
@@ -98,6 +104,10 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p8_packed(spark, folder), table(spark, folder, "container_spec"))
 
 
+def p8_placement(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.placement_report(p8_packed(spark, folder), table(spark, folder, "container_spec"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_leaks(spark, folder).select("item_id", "doc_id")
 
