@@ -397,3 +397,71 @@ def test_held_against_all_pairs_of_pieces():
             if x[3] <= y[2] and x[5] <= y[4]:
                 best = max(best, x[0] + y[0])
         assert leakage.held(found) == best
+
+
+def test_identifiers_are_independent(spark):
+    rows = spark.range(2000).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    pair = rows.select(*formatdup._pair(F.col("v"), ("a", "b"))).collect()
+    assert len({r["a"] for r in pair}) == len({r["b"] for r in pair}) == 2000
+    # the second number must not follow from the first: it does not when the first is hashed on
+    chained = rows.select(F.xxhash64(F.xxhash64("v"), F.lit(11)).alias("c"), *formatdup._pair(F.col("v"), ("a", "b"))).collect()
+    assert not any(r["b"] in (r["a"], r["c"]) for r in chained)
+    nulls = spark.createDataFrame([(None,), ("x",)], "v string").select(*formatdup._pair(F.col("v"), ("a", "b"))).collect()
+    assert nulls[0]["a"] != nulls[0]["b"] and nulls[1]["a"] != nulls[1]["b"]
+
+
+def test_trie_in_sorted_order(spark):
+    long = "ab" + "x" * 1_000_000
+    words_seen = spark.createDataFrame([("abbey", 5), ("abbot", 2), ("rare", 1), (long, 3), ("öde", 2), ("ödland", 2)], "word string, n long")
+    last = spark.createDataFrame([("ab",), ("abb",), ("abbey",), ("abbots",), ("rar",), ("öd",), ("abx",), ("zz",), ("abbo",)], "word string")
+    got = {r["word"]: r["inner"] for r in truncation._trie(words_seen, last).collect()}
+    assert got == {"ab": True, "abb": True, "abbey": False, "abbots": False, "rar": False, "öd": True, "abx": True, "zz": False, "abbo": True}
+
+
+def test_reading_ranks_do_not_depend_on_the_table(spark):
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    rows = [(i, " ".join(r.choice(vocabulary[: r.choice([3, 40, 300])]) for _ in range(80)) + ".") for i in range(60)] + [(60, "一二三 四五。"), (61, ""), (None, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    large, small = ({r[0]: tuple(r) for r in reading.measure(df, "doc_id", "text", vocabulary=v).collect()} for v in (10_000, 4))
+    assert large == small and len(large) == 63
+    assert large[60][1] == 5 and large[61][3] is None
+
+
+def test_two_readings_in_one_session(spark):
+    documents = spark.createDataFrame([(i, "The cat sat on the mat. " * 5 if i % 2 else "Hermeneutical considerations notwithstanding, epistemological presuppositions of the argument are indeterminate. " * 5) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 4) for i in range(10)], "doc_id long, reading_band int")
+    other = labels.withColumn("reading_band", 5 - F.col("reading_band"))
+    first, second = reading.unlabelled_in_band(documents, labels, 4), reading.unlabelled_in_band(documents, other, 4)
+    assert {r[0] for r in first.collect()} == {10, 12, 14, 16, 18} and {r[0] for r in second.collect()} == {11, 13, 15, 17, 19}
+
+
+def test_many_rows_of_a_spelling_meet_in_parts(spark, monkeypatch):
+    from lumenloom.operators import skew
+
+    rows = [(i, ["Pax et opus" if i < 30 else "Рах et opus" if i < 45 else "Pаx et opus" if i < 50 else "other"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, captions array<string>")
+    kind = lambda i: 0 if i < 30 else 1 if i < 45 else 2
+    want = {(i, j) for i, j in itertools.combinations(range(50), 2) if kind(i) != kind(j)}
+    assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == want
+    monkeypatch.setattr(skew.join_members, "__defaults__", (7,))
+    monkeypatch.setattr(skew.join_hot_keys_apart, "__defaults__", ("inner", 7))
+    assert {tuple(r) for r in lookalike.lookalike_pairs(df).collect()} == want
+
+
+def test_placement_report_sees_what_is_wrong(spark):
+    specs = spark.createDataFrame([("s", 10)], "container_name string, capacity_tokens int")
+    made = lambda rows: packing.placement_report(spark.createDataFrame([("s", *x) for x in rows], "container_name string, bin_id long, doc_id long, first_token long, n_tokens int"), specs).first()
+    assert made([(0, 1, 0, 6), (0, 2, 0, 4), (1, 3, 0, 10), (2, 3, 10, 3)])[:4] == ("s", 3, 0, 0)
+    assert made([(0, 1, 0, 6), (0, 2, 0, 5)])[2] == 1
+    assert made([(0, 1, 0, 3), (1, 1, 3, 3)])[3] == 1  # split without need
+    assert made([(0, 1, 2, 4)])[3] == 1  # a beginning is missing
+
+
+def test_other_languages_are_rejected(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/precomputed.parquet")
+    matrix = language.fit(language.labelled_sample(df, "row_id", "lang", "captions"))
+    texts = ["Cichy malarz trzyma lampę przy oknie starego kamiennego młyna nad rzeką.", "The quiet painter holds a lamp at the window of the old stone mill."]
+    segments = language.Segments(texts)
+    best, _ = language.classify(segments, np.flatnonzero(language.running(segments) == 2), matrix)
+    assert best.tolist() == [-1, 0]
