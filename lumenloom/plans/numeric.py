@@ -79,12 +79,12 @@ def heun_linear(spark: SparkSession, folder: str) -> DataFrame:
     return _summed(K.solved(_pairs(spark, folder).select("row_id", "x"), "x", _decay, TIMES, "heun", name="x1"), x1=F.col("x1"))
 
 
-@query(f"WITH {_P} SELECT row_id, s AS step, round(list_sum({_Z.format('x[i + 1] * power(0.9, s)')}) / 3, 5) AS state_third FROM p, range(11) AS t(s)")
+@query(f"WITH {_P} SELECT row_id, s AS step, round(list_sum({_Z.format('x[i + 1] * power(0.9, s)')}) / 7, 5) AS state_seventh FROM p, range(11) AS t(s)")
 def ode_states(spark: SparkSession, folder: str) -> DataFrame:
     """The states of ten steps, with the start, of a solver that is given as a function."""
     step = lambda x, t, dt, field: x + dt * field(x, t)
     made = K.solved(_pairs(spark, folder).select("row_id", "x"), "x", _decay, TIMES, step, intermediates=True, name="states")
-    return made.select("row_id", F.posexplode("states").alias("step", "v")).select("row_id", F.col("step").cast("long").alias("step"), F.round(K.total(F.col("v")) / 3, 5).alias("state_third"))
+    return made.select("row_id", F.posexplode("states").alias("step", "v")).select("row_id", F.col("step").cast("long").alias("step"), F.round(K.total(F.col("v")) / 7, 5).alias("state_seventh"))
 
 
 @query(_sql(flow=_Z.format("x[i + 1] - 0.5 * (0.1 + t * 19.9) * (x[i + 1] + z[i + 1]) * 0.02")))
