@@ -48,7 +48,7 @@ CHUNKS, OFFSETS = 6, 3
 #: Pairs to be checked, counted, up to which the ids of their records are broadcast (two numbers each).
 FEW = 500_000
 #: Keys of copies that a task remembers.
-SENT = 1_000_000
+SENT = 200_000
 #: Columns of the 256 bits that say which words a record has.
 BITS = ("b1", "b2", "b3", "b4")
 _BLOCK = 1 << 13
