@@ -84,7 +84,7 @@ class Words:
     def __init__(self, tokens: list[list[str]], known: Vocabulary):
         known.begin()
         self.sizes = np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens))
-        ids = np.fromiter((known[w] for t in tokens for w in t), dtype=np.int64, count=int(self.sizes.sum()))
+        ids = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(tokens)), dtype=np.int64, count=int(self.sizes.sum()))
         h, letters, wide, code = known.facts()[:, ids] if len(ids) else np.zeros((4, 0), dtype=np.uint64)
         self.doc = np.repeat(np.arange(len(tokens)), self.sizes)
         self.begin = np.cumsum(self.sizes) - self.sizes
