@@ -12,8 +12,9 @@ Latent vectors never shift, so they are cut at fixed places into CHUNKS runs, wh
 offsets, so that small differences leave some chunk unchanged. Widths of bins follow the record's own spread, in classes that evaluation records try
 on both sides. This search is not exact: of pairs with a gap of a tenth of the spread it misses about one in 600. Candidates are checked by their values.
 
-What evaluation records hold is kept in a table of fixed size: a filter of 2**MAP bits, and 2**COUNTERS counters of one byte, which only order words. When it is full,
-more is shuffled and no pair is lost.
+What evaluation records hold is kept in a table of fixed size: a filter of 2**MAP bits, and twice 2**COUNTERS counters of one byte, which order words and tell
+which words and chunks very many records share. When it is full, more is shuffled and no pair is lost. Of what more than 2**SPLIT evaluation records share,
+training records are spread over tasks by their keys, and evaluation records are sent to each of them.
 
 Copies (the same letters and digits, caption order aside, or the same values) are one class, named by two hashes; a class is searched and checked
 once, and its links hold for the members. Nulls: a record without a non-blank caption takes no part, whatever its latents; null captions
@@ -42,6 +43,8 @@ CHANGED, EDIT_IN = 0.1, 9
 LENGTHS = 1.25
 #: Sizes of the table of what evaluation records hold, as powers of 2: bits, and counters of one byte.
 MAP, COUNTERS = 27, 22
+#: Evaluation records that share a word or chunk in one task, as a power of 2.
+SPLIT = 17
 #: Bins of latent values, the ratio of one class of spreads to the next, and the most that same pictures differ by (root mean square), in spreads.
 BIN, SPREADS, NEAR = 0.75, 1.5, 0.15
 CHUNKS, OFFSETS = 6, 3
@@ -117,14 +120,30 @@ class Texts:
 class Asked:
     """The table of what evaluation records hold."""
 
-    def __init__(self, bits: np.ndarray, counters: np.ndarray):
-        self.bits, self.counters = bits, counters
+    def __init__(self, bits: np.ndarray, counters: np.ndarray, split: int = SPLIT):
+        self.bits, self.counters, self.split = bits, counters, split
+
+    def spread(self, rows: np.ndarray, digests: np.ndarray, counts: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(record, digest) with what very many records share in parts: a record of wide takes all parts, another one that of its key. counts are counters, which hold 8 log2 + 1."""
+        parts = np.int64(1) << np.maximum((counts.astype(np.int64) - 1) // 8 - self.split, 0)
+        if len(parts) == 0 or parts.max() == 1:
+            return rows, digests
+        times = np.where(wide[rows], parts, 1)
+        of = np.repeat(np.arange(len(rows)), times)
+        part = np.where(wide[rows[of]], np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times), (keys[rows[of]] % parts[of].astype(np.uint64)).astype(np.int64))
+        return rows[of], np.where(parts[of] > 1, _mix(digests[of] + (part + 1).astype(np.uint64) * _P), digests[of])
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         x = hashes & np.uint64(2**MAP - 1)
         return (self.bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63)) & np.uint64(1)).astype(bool)
 
-    def first(self, texts: Texts, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def chunks(self, rows: np.ndarray, digests: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(record, digest) of the chunks of values that evaluation records have."""
+        met = self.has(digests)
+        rows, digests = rows[met], digests[met]
+        return self.spread(rows, digests, self.counters[2**COUNTERS + (digests >> np.uint64(64 - COUNTERS)).astype(np.int64)], wide, keys)
+
+    def first(self, texts: Texts, wide: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(record, digest) of the first words of each record, but for those that no evaluation record has; under its own class of length, for records of wide under those of near records."""
         some = np.flatnonzero(texts.edits[texts.of] > 0)
         of, h = texts.of[some], texts.words[some]
@@ -132,15 +151,16 @@ class Asked:
         order = np.lexsort((h, met, of))
         of, h, met = of[order], h[order], met[order]
         kept = (_ranges(_changes(of)) <= texts.edits[of]) & (met > 0)
-        of, h = of[kept], h[kept]
+        of, h, met = of[kept], h[kept], met[kept]
         own, low, high = texts.classes()
-        rows, out = [], []
+        rows, out, counts = [], [], []
         for step in range(3):
             kind = np.where(wide, low + step, own)[of]
             good = np.where(wide[of], kind <= high[of], step == 0)
             rows.append(of[good])
             out.append(_mix(h[good] + kind[good].astype(np.uint64)))
-        return np.concatenate(rows), np.concatenate(out)
+            counts.append(met[good])
+        return self.spread(np.concatenate(rows), np.concatenate(out), np.concatenate(counts), wide, keys)
 
 
 def _read(captions: list[str | None], known: _Hashes) -> tuple[list[list[int]], bytes] | None:
@@ -218,21 +238,24 @@ def asked_table(evaluation: DataFrame, column: str, latents: str) -> Asked:
     def held(batches):
         known = _Hashes()
         for batch in batches:
-            set_bits, counts = [], []
+            set_bits, counts, chunks = [], [], []
             read = [x for x in (_read(t, known) for t in batch.column(0).to_pylist()) if x]
             if read:
                 counts.append(Texts([x for x, _ in read]).words)
                 set_bits.append(_keys([key for _, key in read], TEXT)[:, 0])
             for _, x in vectors(batch.column(1)):
-                set_bits.append(latent_digests(x, np.ones(len(x), dtype=bool))[1])
+                chunks.append(latent_digests(x, np.ones(len(x), dtype=bool))[1])
+                set_bits.append(chunks[-1])
                 set_bits.append(_value_keys(x)[:, 0])
             for bits in (np.unique(np.concatenate(set_bits) & np.uint64(2**MAP - 1)) if set_bits else None,):
                 if bits is not None:
                     place, first = np.unique((bits >> np.uint64(6)).astype(np.int32), return_index=True)
                     m = np.bitwise_or.reduceat(np.uint64(1) << (bits & np.uint64(63)), first)
                     yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(m.view(np.int64)), pa.array(np.zeros(len(m), dtype=np.int64))], ["w", "m", "n"])
-            if counts:
-                place, n = np.unique((counts[0] >> np.uint64(64 - COUNTERS)).astype(np.int32), return_counts=True)
+            for base, found, least in ((0, counts, 1), (2**COUNTERS, chunks, 4)):
+                # chunks need no order, so only what is frequent in a batch is counted
+                place, n = np.unique((np.concatenate([np.zeros(0, dtype=np.uint64), *found]) >> np.uint64(64 - COUNTERS)).astype(np.int32), return_counts=True)
+                place, n = place[n >= least] + np.int32(base), n[n >= least]
                 yield pa.RecordBatch.from_arrays([pa.array(place + np.int32(2 ** (MAP - 6))), pa.array(np.zeros(len(n), dtype=np.int64)), pa.array(n.astype(np.int64))], ["w", "m", "n"])
 
     slots = evaluation.select(column, latents).mapInArrow(held, "w int, m long, n long").groupBy("w").agg(F.bit_or("m").alias("m"), F.sum("n").alias("n"))
@@ -248,7 +271,7 @@ def asked_table(evaluation: DataFrame, column: str, latents: str) -> Asked:
         return pd.DataFrame({"block": [key[0]], "data": [out.tobytes()]})
 
     blocks = slots.groupBy(F.expr(f"cast(w div {_BLOCK} as int)").alias("block")).applyInPandas(block, "block int, data binary")
-    bits, counters = np.zeros(per, dtype=np.uint64), np.zeros(2**COUNTERS, dtype=np.uint8)
+    bits, counters = np.zeros(per, dtype=np.uint64), np.zeros(2 * 2**COUNTERS, dtype=np.uint8)
     for number, data in zip(*(c.to_pylist() for c in blocks.toArrow().columns), strict=True):  # a table of fixed size
         at = number * _BLOCK
         if at < per:
@@ -265,7 +288,7 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType = pa.i
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order], kind))
 
 
-def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str) -> DataFrame:
+def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str, split: int = SPLIT) -> DataFrame:
     """<id>, train, k1, k2 (copies' key), n words, b1 to b4, ds (words or chunks to search by), words (with 0 between captions) or x (values) of each record, once for its text and once for its values.
 
     Training records of which the evaluation records hold neither a word or chunk to search by nor the key are left out.
@@ -277,7 +300,7 @@ def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str
     ddl = f"{id_col} {id_type}, train boolean, k1 long, k2 long, n int, {', '.join(f'{b} long' for b in BITS)}, ds array<long>, words array<int>, x array<float>"
 
     def relevant(batches):
-        asked, known = Asked(*held.value), _Hashes()
+        asked, known = Asked(*held.value, split), _Hashes()
         sent: set[tuple[bool, int, int]] = set()
 
         def rows_of(batch, rows, keys, row, ds, n, bits, words, x):
@@ -303,14 +326,15 @@ def records(df: DataFrame, id_col: str, train: Column, column: str, latents: str
                 rows = np.array([k for k, x in enumerate(read) if x], dtype=np.int64)
                 if len(rows):
                     texts = Texts([read[k][0] for k in rows])
-                    row, ds = asked.first(texts, wide[rows])
+                    keys = _keys([read[k][1] for k in rows], TEXT)
+                    row, ds = asked.first(texts, wide[rows], keys[:, 0])
                     spelt = pa.array([_spelt(read[k][0]) for k in rows], pa.list_(pa.int32()))
-                    yield rows_of(batch, rows, _keys([read[k][1] for k in rows], TEXT), row, ds, texts.sizes, texts.bits(), spelt, pa.nulls(len(rows), pa.list_(pa.float32())))
+                    yield rows_of(batch, rows, keys, row, ds, texts.sizes, texts.bits(), spelt, pa.nulls(len(rows), pa.list_(pa.float32())))
                 for rows, x in vectors(batch.column(3)):
-                    row, ds = latent_digests(x, wide[rows])
-                    met = asked.has(ds)
+                    keys = _value_keys(x)
+                    row, ds = asked.chunks(*latent_digests(x, wide[rows]), wide[rows], keys[:, 0])
                     values = batch.column(3).take(pa.array(rows)).cast(pa.list_(pa.float32()))
-                    yield rows_of(batch, rows, _value_keys(x), row[met], ds[met], np.zeros(len(rows)), np.zeros((len(rows), len(BITS)), dtype=np.int64), pa.nulls(len(rows), pa.list_(pa.int32())), values)
+                    yield rows_of(batch, rows, keys, row, ds, np.zeros(len(rows)), np.zeros((len(rows), len(BITS)), dtype=np.int64), pa.nulls(len(rows), pa.list_(pa.int32())), values)
 
     return df.select(id_col, train.alias("train"), column, latents).mapInArrow(relevant, ddl)
 
@@ -495,10 +519,10 @@ def near_pairs(found: DataFrame, groups: DataFrame, id_col: str, few: int = FEW)
 class Overlaps:
     """What is found of one table: records that can take part, classes of copies, and links between classes. All three are written to the shared folder."""
 
-    def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str, few: int = FEW):
+    def __init__(self, df: DataFrame, id_col: str, split: str, column: str, latents: str, train: str, few: int = FEW, split_at: int = SPLIT):
         self.id = id_col
         usable = df.where(F.col(id_col).isNotNull() & F.col(split).isNotNull() & F.exists(column, lambda c: c.rlike(r"[^\s\p{Z}\p{Cf}]")))
-        self.records = written(records(usable, id_col, F.col(split) == train, column, latents))
+        self.records = written(records(usable, id_col, F.col(split) == train, column, latents, split_at))
         self.groups = written(classes(self.records, id_col))
         self.links = written(near_pairs(self.records, self.groups, id_col, few))
 
@@ -517,9 +541,9 @@ class Overlaps:
         return self.members(self.side("b", "eval"), ~F.col("train")).select(self.id).distinct()
 
 
-def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train", few: int = FEW) -> DataFrame:
+def cross_split_pairs(df: DataFrame, id_col: str = "row_id", split: str = "data_split", column: str = "captions", latents: str = "latents", train: str = "train", few: int = FEW, split_at: int = SPLIT) -> DataFrame:
     """<id>_a, <id>_b: each pair of a training and an evaluation record that are the same or nearly so, by captions or by latents."""
-    o = Overlaps(df, id_col, split, column, latents, train, few)
+    o = Overlaps(df, id_col, split, column, latents, train, few, split_at)
     x = o.members(o.side("a", "train"), F.col("train")).withColumnRenamed(id_col, "x")
     y = o.members(o.side("b", "eval"), ~F.col("train")).withColumnRenamed(id_col, "y")
     of = lambda name, kept: [F.col(f"k{name}1").alias("k1"), F.col(f"k{name}2").alias("k2"), F.col(f"n{name}").alias("size"), *kept]

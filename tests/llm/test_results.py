@@ -198,6 +198,7 @@ def test_overlaps_against_brute_force(spark):
     got = {tuple(x) for x in overlap.cross_split_pairs(df).collect()}
     assert got <= want and len(got) >= 0.97 * len(want) and len(want) >= 110
     assert {tuple(x) for x in overlap.cross_split_pairs(df, few=0).collect()} == got  # the other way to fetch the records to be checked
+    assert {tuple(x) for x in overlap.cross_split_pairs(df, split_at=1).collect()} == got  # what records share is spread over parts
     report = overlap.overlap_report(df).agg(F.sum("n_overlapping")).first()[0]
     sides = {x[0]: x[1] for x in rows}
     assert report == len({i for pair in got for i in pair if sides[i] != "train"})
