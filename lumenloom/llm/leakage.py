@@ -42,6 +42,9 @@ NEAR, GROUPS = 0.8, 64
 SAMPLE_DOCUMENTS, SAMPLE_PASSAGES = 600, 20_000
 #: Items that a task holds at once.
 BLOCK_ITEMS = 20_000
+#: Runs that lie on neighbouring diagonals if a text holds enough of an item. The larger one of two pieces has 12 words, on one diagonal if it has less than 24, so 9 runs.
+#: In a piece of n words from 24 on, of which a fifth at most is changed, n - 3 (n // 5 + 1) runs drift over n // 5 diagonals; 7 of them lie within 8 diagonals, whatever n.
+ALIGNED = 7
 #: Rare terms that a reworded piece must keep at least.
 ANSWERS = 4
 #: Words of a run; words of a gap within a piece; words of the shortest piece.
@@ -335,6 +338,21 @@ def item_sizes(passage: str, tokens: list[str], cjk: bool) -> list[int]:
     return [n + rest * k // max(1, len(tokens)) for k, n in enumerate([*out, seen])]
 
 
+def _aligned(bounds: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
+    """Of each group of runs, which begins at a bound and ends before the next, the most that lie within 16 diagonals (differences of places), in either of two rows of such strips."""
+    n = len(bounds) - 1
+    out = np.zeros(n, dtype=np.int64)
+    if n <= 0:
+        return out
+    group = np.repeat(np.arange(n), np.diff(bounds))
+    for shift in (0, 8):
+        strip = (diagonals + shift) >> 4
+        low, high = int(strip.min()), int(strip.max())
+        code, count = np.unique(group * (high - low + 1) + (strip - low), return_counts=True)
+        np.maximum.at(out, code // (high - low + 1), count)
+    return out
+
+
 class Index:
     """The runs of the items' words, sorted by hash."""
 
@@ -450,11 +468,12 @@ def _search(documents: DataFrame, own: list, lists: list[np.ndarray], windows: l
                 covered = np.minimum(np.diff(q, append=0), RUN)
                 covered[bounds[1:] - 1] = RUN
                 covered = np.add.reduceat(covered, bounds[:-1]) if len(pair) else covered
-                for a, b, size in zip(bounds.tolist(), bounds[1:].tolist(), covered.tolist(), strict=False):
+                aligned = _aligned(bounds, p - q)
+                for a, b, size, most in zip(bounds.tolist(), bounds[1:].tolist(), covered.tolist(), aligned.tolist(), strict=False):
                     d, k = divmod(int(pair[a]), n_items)
-                    if size < least[k]:
-                        continue
                     _, _, sizes, cjk = own[k]
+                    if size < least[k] or not cjk and most < ALIGNED:
+                        continue
                     said = tokens[d] if cjk else w.codes[w.begin[d] : w.begin[d] + w.sizes[d]].tolist()
                     found = spans(chains(spelt[k], said, list(zip(p[a:b].tolist(), q[a:b].tolist(), strict=True)), 2 * GAP if cjk else GAP, cjk), sizes, cjk)
                     terms = w.terms[w.begin[d] : w.begin[d] + w.sizes[d]]
