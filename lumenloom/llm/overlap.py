@@ -10,7 +10,7 @@ edits prove that a pair is none. What is left is checked exactly, by word edits
 
 Latent vectors never shift, so they are cut at fixed places into CHUNKS runs, whose values are rounded to bins of most of a spread, at OFFSETS
 offsets, so that small differences leave some chunk unchanged. Widths of bins follow the record's own spread, in classes that evaluation records try
-on both sides. This search is not exact: in a simulation it misses no pair with a gap of 0.05 spreads, 0.1 % at 0.1 (1 % if every value differs by just that) and 3 % at 0.14. Candidates are checked by their values.
+on both sides. This search is not exact: in a simulation it misses no pair with a gap of 0.05 or 0.1 spreads, 0.1 % if every value differs by just 0.1, and 0.6 % at 0.14. Candidates are checked by their values.
 
 What evaluation records hold is kept in a table of fixed size: a filter of 2**MAP bits, and twice 2**COUNTERS counters of one byte, which order words and tell
 which words and chunks very many records share. When it is full, more is shuffled and no pair is lost. Of what more than 2**SPLIT evaluation records share,
@@ -46,7 +46,7 @@ MAP, COUNTERS = 27, 22
 #: Evaluation records that share a word or chunk in one task, as a power of 2.
 SPLIT = 17
 #: Bins of latent values, the ratio of one class of spreads to the next, and the most that same pictures differ by (root mean square), in spreads.
-BIN, SPREADS, NEAR = 0.75, 1.5, 0.15
+BIN, SPREADS, NEAR = 0.9, 1.5, 0.15
 CHUNKS, OFFSETS = 6, 3
 #: Pairs to be checked, counted, up to which the ids of their records are broadcast (two numbers each).
 FEW = 500_000
